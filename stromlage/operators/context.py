@@ -49,18 +49,20 @@ def availability(df: DataFrame, back: str = "30 DAY") -> DataFrame:
 def grid_context(df: DataFrame, back: str = "30 DAY", step: str = "1 HOUR") -> DataFrame:
     """Both snapshots, their deltas and availability in one row and one pass.
 
-    The scan is cut to the trailing period (or the earlier snapshot, should that
-    lie before it) and aggregated conditionally: one shuffle of one row per task.
+    ``step`` must not exceed ``back``. The one subquery gives the start of the
+    trailing period, a bare value that is pushed into the Parquet scan; the
+    other instants follow from it. What is left of the scan is aggregated
+    conditionally: one shuffle of one row per task.
     """
     ts = F.col("timestamp")
-    now, before, start = latest_ts(df), latest_ts(df, step), latest_ts(df, back)
-    earliest = F.least(*[F.max(ts) - F.expr(f"INTERVAL {i}") for i in (back, step)])
-    rows = df.filter(ts >= df.agg(earliest.alias("at")).scalar())
-    one = rows.agg(
+    start = latest_ts(df, back)
+    now = start + F.expr(f"INTERVAL {back}")
+    before = now - F.expr(f"INTERVAL {step}")
+    one = df.filter(ts >= start).agg(
         F.max(ts).alias("latest_ts"),
         *_snapshot("now_", ts == now),
         *_snapshot("prev_", ts == before),
-        _availability(ts >= start).alias("plant_availability_pct"),
+        _availability(F.lit(True)).alias("plant_availability_pct"),
     )
     return one.select(
         "latest_ts",

@@ -7,18 +7,23 @@ with skewed partitions split. Only tables of fixed values are hinted.
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from stromlage import fixed_values as fv
-from stromlage.functions.text import fill_defaults, infra_text, disco_label, crew_name
+from stromlage.functions.text import crew_name, disco_label, fill_defaults, infra_text
 
 
-def join_weather(telemetry: DataFrame, weather: DataFrame) -> DataFrame:
+def join_weather(
+    telemetry: DataFrame, weather: DataFrame, by_entity: bool = False
+) -> DataFrame:
     """Telemetry and weather of the same corridor and instant.
 
     The composite key spreads even one dominant corridor over all partitions.
+    With ``by_entity`` (no corridor dominates) both sides are partitioned by
+    corridor alone, and a window per corridor needs no further shuffle.
     """
     readings = weather.select("corridor_id", "timestamp", "temperature", "humidity")
+    if by_entity:
+        telemetry, readings = telemetry.repartition("corridor_id"), readings.repartition("corridor_id")
     return telemetry.join(readings, ["corridor_id", "timestamp"])
 
 
@@ -35,12 +40,12 @@ def join_corridor(df: DataFrame, corridors: DataFrame) -> DataFrame:
 def latest_rows(df: DataFrame, key: str, order: str) -> DataFrame:
     """All rows at the largest ``order`` of their key; ties stay.
 
-    Each task first reduces its own rows to the best of every key, so a key
-    that dominates the table is small before it is shuffled.
+    The maxima are aggregated before they are shuffled and joined back, so no
+    key is gathered in one task, not even one whose latest rows are most of the
+    table.
     """
-    best = F.rank().over(Window.partitionBy(key).orderBy(F.col(order).desc_nulls_last()))
-    present = df.filter(F.col(key).isNotNull() & F.col(order).isNotNull())
-    return present.withColumn("_rank", best).filter("_rank = 1").drop("_rank")
+    top = df.groupBy(key).agg(F.max(order).alias(order))
+    return df.join(top, [key, order])
 
 
 def join_latest(

@@ -28,7 +28,8 @@ Columns = Callable[[WindowSpec], dict[str, Column]]
 def long_entities(df: DataFrame, entity: str, limit: int) -> list | None:
     """Entities with more than ``limit`` rows; None when too many to name.
 
-    Reads one column and shuffles one partial count per entity and task.
+    Reads one column and shuffles one partial count per entity and task. Given a
+    table before its joins, the counts are upper bounds for the joined rows.
     """
     counts = df.groupBy(entity).agg(F.count("*").alias("n")).filter(F.col("n") > limit)
     found = [row[0] for row in counts.select(entity).limit(MAX_NAMED + 1).collect()]
@@ -82,29 +83,3 @@ def roll_sliced(
     both = rows.withColumn("_halo", F.lit(False)).unionByName(halo, allowMissingColumns=True)
     window = Window.partitionBy(entity, "_slice").orderBy(ts)
     return both.withColumns(columns(window)).filter(~F.col("_halo")).drop("_slice", "_halo")
-
-
-def roll_by_entity(
-    df: DataFrame,
-    entity: str,
-    ts: str,
-    columns: Columns,
-    inputs: list[str],
-    reach: int,
-    sizes: DataFrame | None = None,
-    limit: int = ROWS_PER_TASK,
-) -> DataFrame:
-    """Plain windows for entities up to ``limit`` rows, sliced ones beyond.
-
-    ``sizes`` is a cheaper frame whose row counts bound those of ``df`` (a table
-    before its joins), read once to find the long entities.
-    """
-    long = long_entities(df if sizes is None else sizes, entity, limit)
-    if long is None:
-        return roll_sliced(df, entity, ts, columns, inputs, reach)
-    if not long:
-        return roll(df, entity, ts, columns)
-    is_long = F.coalesce(F.col(entity).isin(long), F.lit(False))
-    short = roll(df.filter(~is_long), entity, ts, columns)
-    cut = roll_sliced(df.filter(is_long), entity, ts, columns, inputs, reach)
-    return short.unionByName(cut)

@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from stromlage import fixed_values as fv
+from stromlage.session import stage
 
 
 def first_row(df: DataFrame, keys: list[str], *order: Column) -> DataFrame:
@@ -62,9 +63,16 @@ def first_calm(df: DataFrame, targets: DataFrame, below: float = 0.5) -> DataFra
 
 
 def demo_snapshot(df: DataFrame, targets: DataFrame) -> DataFrame:
-    """Exact rows, and for targets without one the row of their fallback."""
-    exact = first_row(snapshot_targets(df, targets), ["corridor_id"], F.col("timestamp"))
-    missing = missing_targets(df, targets)
+    """Exact rows, and for targets without one the row of their fallback.
+
+    The missing targets are staged: the fallbacks then join a table whose size
+    Spark knows, and are left out altogether when nothing is missing.
+    """
+    key = ["corridor_id", "timestamp"]
+    exact = first_row(snapshot_targets(df, targets), key, F.col("timestamp"))
+    missing = stage(missing_targets(df, targets), "missing")
+    if missing.isEmpty():
+        return exact
     nearest = nearest_asof(df, missing.filter("fallback = 'nearest'"))
     calm = first_calm(df, missing.filter("fallback = 'calm'"))
     return exact.unionByName(nearest).unionByName(calm)

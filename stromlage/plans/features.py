@@ -12,7 +12,10 @@ from stromlage.functions.physics import (
     with_voltage_deviation,
 )
 from stromlage.operators.joins import join_latest, join_weather
-from stromlage.operators.rolling import ROWS_PER_TASK, roll_by_entity
+from stromlage.operators.rolling import ROWS_PER_TASK, long_entities, roll, roll_sliced
+from stromlage.session import SUBSET_KEYS, settings
+from stromlage.sources.readers import read_parquet
+from stromlage.sources.writers import overwrite_table
 
 WINDOW_INPUTS = ["voltage_kv", "frequency_hz", "temperature"]
 REACH = 6
@@ -37,7 +40,11 @@ def window_columns(w: WindowSpec) -> dict[str, Column]:
 
 
 def joined_telemetry(
-    telemetry: DataFrame, weather: DataFrame, corridors: DataFrame, performance: DataFrame
+    telemetry: DataFrame,
+    weather: DataFrame,
+    corridors: DataFrame,
+    performance: DataFrame,
+    by_entity: bool = False,
 ) -> DataFrame:
     """Telemetry with weather, corridor and loss, and its row-wise features.
 
@@ -53,12 +60,10 @@ def joined_telemetry(
         ),
         performance,
     )
-    rows = join_weather(
-        telemetry.select(
-            "corridor_id", "timestamp", "voltage_kv", "frequency_hz", "failure_event"
-        ),
-        weather,
-    ).join(dim, "corridor_id")
+    measured = telemetry.select(
+        "corridor_id", "timestamp", "voltage_kv", "frequency_hz", "failure_event"
+    )
+    rows = join_weather(measured, weather, by_entity).join(dim, "corridor_id")
     return with_calendar(with_voltage_deviation(with_freq_deviation(rows)))
 
 
@@ -72,18 +77,56 @@ def engineer_features(
     """The feature table: rows whose lag windows are filled.
 
     Windows run over the joined rows, so a row the joins drop takes no part in
-    them. ``rows_per_task`` is how long a corridor may be before its windows
-    are cut into slices.
+    them. Corridors longer than ``rows_per_task`` are cut into slices of time.
+    Where the session lets a join use a partitioning by some of its keys, the
+    others are shuffled once, by corridor, for joins and windows alike.
     """
-    joined = joined_telemetry(telemetry, weather, corridors, performance)
-    rolled = roll_by_entity(
-        joined, "corridor_id", "timestamp", window_columns, WINDOW_INPUTS, REACH,
-        sizes=telemetry, limit=rows_per_task,
-    )
+    entity, ts = "corridor_id", "timestamp"
+    long = long_entities(telemetry, entity, rows_per_task)
+    by_entity = telemetry.sparkSession.conf.get(SUBSET_KEYS) == "false"
+
+    def whole(t: DataFrame, w: DataFrame) -> DataFrame:
+        joined = joined_telemetry(t, w, corridors, performance, by_entity)
+        return roll(joined, entity, ts, window_columns)
+
+    def sliced(t: DataFrame, w: DataFrame) -> DataFrame:
+        joined = joined_telemetry(t, w, corridors, performance)
+        return roll_sliced(joined, entity, ts, window_columns, WINDOW_INPUTS, REACH)
+
+    if long is None:
+        rolled = sliced(telemetry, weather)
+    elif not long:
+        rolled = whole(telemetry, weather)
+    else:
+        is_long = F.col(entity).isin(long)
+        rolled = whole(telemetry.filter(~is_long), weather.filter(~is_long)).unionByName(
+            sliced(telemetry.filter(is_long), weather.filter(is_long))
+        )
     filled = rolled.filter(F.col("volt_lag_2h").isNotNull() & F.col("freq_lag_3h").isNotNull())
     return filled.select(*schemas.MODEL_FEATURES.fieldNames())
 
 
+def build_feature_table(
+    telemetry: DataFrame,
+    weather: DataFrame,
+    corridors: DataFrame,
+    performance: DataFrame,
+    path: str,
+    rows_per_task: int = ROWS_PER_TASK,
+) -> DataFrame:
+    """Drop and recreate the feature table at ``path``; returns it.
+
+    Both long inputs are shuffled once each. The setting that allows it holds
+    for this write alone: elsewhere a join on some of its keys could meet one
+    that dominates, which is ruled out here by the check on row counts.
+    """
+    spark = telemetry.sparkSession
+    with settings(spark, {SUBSET_KEYS: "false"}):
+        rows = engineer_features(telemetry, weather, corridors, performance, rows_per_task)
+        overwrite_table(rows, path)
+    return read_parquet(spark, path, schemas.MODEL_FEATURES)
+
+
 def feature_frame(df: DataFrame) -> DataFrame:
     """The model's inputs, in the order of its vector."""
     return df.select(*fv.FEATURES)

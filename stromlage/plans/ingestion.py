@@ -11,6 +11,7 @@ from stromlage.operators.events import stressed_telemetry
 from stromlage.operators.geo import apply_infra_floors, infra_counts
 from stromlage.operators.joins import map_names
 from stromlage.operators.quality import unmapped
+from stromlage.session import stage
 from stromlage.sources.landed import split_malformed, weather_rows
 from stromlage.sources.tables import VersionedTable
 
@@ -64,7 +65,11 @@ def stress_baseline(weather: DataFrame, corridors: DataFrame, frequency: DataFra
 def telemetry_under_events(
     weather: DataFrame, corridors: DataFrame, frequency: DataFrame, windows: DataFrame
 ) -> DataFrame:
-    return stressed_telemetry(stress_baseline(weather, corridors, frequency), windows)
+    """Events are rare: staged, their hours are a table whose size Spark knows, and
+    the telemetry is not shuffled to meet them unless they are many.
+    """
+    baseline = stress_baseline(weather, corridors, frequency)
+    return stressed_telemetry(baseline, stage(windows, "windows"))
 
 
 def performance_with_loss(raw: DataFrame, map_df: DataFrame | None = None) -> DataFrame:
