@@ -72,9 +72,8 @@ def delta_text(change: Column, unit: str = "", decimals: int = 1) -> Column:
     """Arrow, sign and value of an hour-on-hour change."""
     arrow = F.when(change > 0, "↑ +").when(change < 0, "↓ ").otherwise("→ ")
     value = F.format_string(f"%.{decimals}f", change.cast("double"))
-    return F.coalesce(
-        F.concat(arrow, value, F.lit(f"{unit} vs last hr")), F.lit("— vs last hour")
-    )
+    shown = F.concat(arrow, value, F.lit(f"{unit} vs last hr"))
+    return F.when(change.isNotNull(), shown).otherwise("— vs last hour")
 
 
 def format_value(value: Column, unit: str, decimals: int = 2) -> Column:

@@ -39,9 +39,10 @@ def consequence_scores(risk: DataFrame, metadata: DataFrame) -> DataFrame:
     """Risk rows with exposure, infrastructure multiplier and risk score.
 
     The multiplier is scaled by the largest score among the rows that joined.
+    The join is staged: the maximum, the ranking and the export all read it.
     """
-    joined = join_metadata(risk, metadata)
-    return with_risk_score(with_infra_multiplier(with_exposure(joined)))
+    joined = stage(join_metadata(risk, metadata), "scores")
+    return with_risk_score(with_infra_multiplier(with_exposure(joined), scale=joined))
 
 
 @dataclass(frozen=True)
@@ -69,13 +70,13 @@ def run(
     snapshot = latest_per_entity(features) if targets is None else demo_snapshot(features, targets)
     model = load_model(spark, paths.model)
     threshold = load_threshold(spark, paths.threshold)
-    # Read by the upsert, the maximum and the ranking.
+    # Read by the upsert and the consequence scores.
     risk = stage(score(snapshot, model, threshold), "risk")
     require_non_empty(risk, "feature snapshot")
     table = VersionedTable(spark, paths.risk_scores).ensure(schemas.RISK_SCORES)
     table.upsert(risk, ["corridor_id"], RISK_COLUMNS, touch="scored_at")
 
-    scores = stage(consequence_scores(risk, corridor_metadata(corridors, performance)), "scores")
+    scores = consequence_scores(risk, corridor_metadata(corridors, performance))
     if scores.isEmpty():
         logger.error("no corridor has metadata: check distributor names")
     if paths.consequence_csv:
