@@ -8,11 +8,11 @@ from stromlage import fixed_values as fv
 from stromlage import schemas
 from stromlage.functions.risk import with_economic_loss
 from stromlage.operators.events import stressed_telemetry
-from stromlage.operators.geo import apply_infra_floors, infra_counts
+from stromlage.operators.geo import apply_infra_floors, infra_counts, payload_counts
 from stromlage.operators.joins import map_names
 from stromlage.operators.quality import unmapped
 from stromlage.session import stage
-from stromlage.sources.landed import split_malformed, weather_rows
+from stromlage.sources.landed import read_poi_json, split_malformed, weather_rows
 from stromlage.sources.tables import VersionedTable
 
 logger = logging.getLogger(__name__)
@@ -34,6 +34,16 @@ def corridors_with_infra(
     return apply_infra_floors(base.join(counts, "id"))
 
 
+def corridors_from_payloads(corridors: DataFrame, payloads: DataFrame) -> DataFrame:
+    """The same from one fetched payload per corridor, already cut to the radius.
+
+    A corridor whose payload is missing or holds nothing that counts gets floors.
+    """
+    base = corridors.select("id", "name", "disco_name", "latitude", "longitude")
+    counts = payload_counts(read_poi_json(payloads)).withColumnRenamed("corridor_id", "id")
+    return apply_infra_floors(base.join(counts, "id", "left"))
+
+
 def load_corridors(table: VersionedTable, corridors: DataFrame) -> int | None:
     """Replace by id; creation times stay, update times move."""
     table.ensure(schemas.CORRIDORS)

@@ -2,7 +2,7 @@
 
 from dataclasses import dataclass
 
-from pyspark.ml import Pipeline, PipelineModel
+from pyspark.ml import PipelineModel
 from pyspark.ml.classification import GBTClassifier
 from pyspark.ml.feature import Imputer, VectorAssembler
 from pyspark.ml.functions import vector_to_array
@@ -34,17 +34,15 @@ class Params:
     positive_at: float = 0.5
 
 
-def assembler_stages() -> list:
-    """Median for missing weather, then all inputs as one vector.
+def filler() -> Imputer:
+    """Median for missing weather: the trees take no missing values."""
+    return Imputer(strategy="median", inputCols=NULLABLE,
+                   outputCols=[f"{c}_filled" for c in NULLABLE])
 
-    Integer inputs are taken as they are; the assembler makes them doubles.
-    """
-    filled = [f"{c}_filled" for c in NULLABLE]
+
+def assembler() -> VectorAssembler:
     inputs = [f"{c}_filled" if c in NULLABLE else c for c in fv.FEATURES]
-    return [
-        Imputer(strategy="median", inputCols=NULLABLE, outputCols=filled),
-        VectorAssembler(inputCols=inputs, outputCol="features", handleInvalid="keep"),
-    ]
+    return VectorAssembler(inputCols=inputs, outputCol="features", handleInvalid="keep")
 
 
 def expand_soft_labels(
@@ -70,10 +68,12 @@ def train(features: DataFrame, params: Params = Params()) -> PipelineModel:
     if weight is None:
         ratio = class_balance(features, cut=params.positive_at).head().ratio
         weight = 1.0 if ratio is None else ratio
-    used = [c for c in fv.FEATURES] + [fv.TARGET]
-    rows = expand_soft_labels(features.select(*used), weight, params.positive_at)
+    used = features.select(*fv.FEATURES, fv.TARGET)
+    filled, vectors = filler().fit(used), assembler()
+    rows = expand_soft_labels(used, weight, params.positive_at)
     # Every round reads these rows again: a table, not a plan.
-    rows = stage(rows, "training")
+    rows = stage(vectors.transform(filled.transform(rows)).select("features", "label", "weight"),
+                 "training")
     trees = GBTClassifier(
         labelCol="label",
         weightCol="weight",
@@ -87,7 +87,7 @@ def train(features: DataFrame, params: Params = Params()) -> PipelineModel:
         cacheNodeIds=True,
         checkpointInterval=10,
     )
-    return Pipeline(stages=[*assembler_stages(), trees]).fit(rows)
+    return PipelineModel(stages=[filled, vectors, trees.fit(rows)])
 
 
 def with_probability(df: DataFrame, model: PipelineModel) -> DataFrame:

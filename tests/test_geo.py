@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from stromlage.operators import geo
-from stromlage.plans.ingestion import corridors_with_infra
+from stromlage.plans.ingestion import corridors_from_payloads, corridors_with_infra
 from stromlage.sources.readers import builtin_corridors
 from tests.conftest import rows
 
@@ -79,6 +79,15 @@ def test_builtin_corridors_get_counts_floors_and_score(spark):
     assert by_id[4].critical_infra_score == 4 * 5 + 4 * 2 + 10 * 3
 
 
+def test_corridors_from_payloads(spark):
+    payloads = spark.createDataFrame(
+        [(1, '{"elements":[{"tags":{"amenity":"school"}}]}'), (2, '{"elements":[]}'), (3, None)],
+        "corridor_id BIGINT, payload STRING")
+    found = {r.id: r.critical_infra_score
+             for r in corridors_from_payloads(builtin_corridors(spark), payloads).collect()}
+    assert (found[1], found[2], found[3]) == (2, 49, 40) and len(found) == 8
+
+
 def test_a_crowded_spot_meets_each_corridor_once(spark):
     """A third of all points on one coordinate are one row per class in the join."""
     poi = spark.range(9000).select(

@@ -3,6 +3,7 @@
 import pytest
 
 import __spark_entry__ as entry_module
+from stromlage.session import settings
 from tools.check_oracle import compare, connect
 
 SF_DIR = "/root/testdata/sf0.001"
@@ -19,6 +20,15 @@ def test_same_rows_as_sql(spark, con, name):
     assert good, note
 
 
+@pytest.mark.parametrize("name", sorted(entry_module.queries()))
+def test_no_query_pairs_all_with_all(spark, name):
+    """Also without broadcasts, as with large tables, no join lacks a key."""
+    with settings(spark, {"spark.sql.autoBroadcastJoinThreshold": "-1"}):
+        df = entry_module.queries()[name](spark, SF_DIR)
+        plan = df._jdf.queryExecution().executedPlan().toString()
+    assert "CartesianProduct" not in plan and "BroadcastNestedLoopJoin" not in plan
+
+
 def test_entry_has_rows(spark):
     assert entry_module.entry(spark).count() > 0
 
