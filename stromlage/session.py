@@ -63,6 +63,11 @@ def scratch_dir(spark: SparkSession) -> str:
     return folder
 
 
+def scratch_path(spark: SparkSession, label: str) -> str:
+    """A new path in the shared folder, used by nobody else."""
+    return f"{scratch_dir(spark)}/stromlage/{label}-{uuid.uuid4().hex}"
+
+
 def stage(df: DataFrame, label: str) -> DataFrame:
     """Write ``df`` to the shared folder and read it back.
 
@@ -70,6 +75,6 @@ def stage(df: DataFrame, label: str) -> DataFrame:
     and an executor lost on the way costs no more than its running tasks.
     """
     spark = df.sparkSession
-    path = f"{scratch_dir(spark)}/stromlage/{label}-{uuid.uuid4().hex}"
+    path = scratch_path(spark, label)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)

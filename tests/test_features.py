@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from stromlage import fixed_values as fv
 from stromlage import schemas
+from stromlage.operators import rolling
 from stromlage.operators.rolling import long_entities, roll, roll_sliced
 from stromlage.plans import features
 from stromlage.session import SUBSET_KEYS, settings
@@ -126,6 +127,16 @@ def test_feature_table_does_not_depend_on_slicing(spark, limit, tmp_path):
     assert rows(built) == expected
 
 
+def test_too_many_long_entities_to_name_are_all_sliced(spark, monkeypatch):
+    monkeypatch.setattr(rolling, "MAX_NAMED", 1)
+    assert long_entities(series(spark), "corridor_id", 1) is None
+    t = series(spark).drop("temperature").withColumn("failure_event", F.lit(0.0))
+    w = series(spark).select("corridor_id", "timestamp", "temperature", F.lit(50.0).alias("humidity"))
+    _, _, c, p = tables(spark, [(k, f"L{k} 132kV", "Benin") for k in (1, 2, 3)])
+    assert rows(features.engineer_features(t, w, c, p, 1)) == rows(
+        features.engineer_features(t, w, c, p))
+
+
 def test_partitioned_build_shuffles_telemetry_once(spark):
     t, w, c, p = tables(spark)
     with settings(spark, {SUBSET_KEYS: "false", "spark.sql.autoBroadcastJoinThreshold": "-1"}):

@@ -4,6 +4,8 @@ Every binding keeps all rows of the table it comes from, and its work grows
 with that table.
 """
 
+from weakref import WeakKeyDictionary
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -28,8 +30,17 @@ SCHEMAS = {
 }
 
 
+_OPEN: WeakKeyDictionary[SparkSession, dict[str, DataFrame]] = WeakKeyDictionary()
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return tune(spark).read.schema(SCHEMAS[name]).parquet(f"{sf_dir}/{name}.parquet")
+    """The given table. Its frame (a plan, no data) is made once per session."""
+    if spark not in _OPEN:
+        _OPEN[tune(spark)] = {}
+    path = f"{sf_dir}/{name}.parquet"
+    if path not in _OPEN[spark]:
+        _OPEN[spark][path] = spark.read.schema(SCHEMAS[name]).parquet(path)
+    return _OPEN[spark][path]
 
 
 def reading_k() -> Column:
