@@ -54,6 +54,8 @@ def session(cpus: str) -> SparkSession:
         .config("spark.ui.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")
         .config("spark.sql.session.timeZone", "UTC")
+        # Small tables: keep all cores busy instead of merging partitions to 1 MB.
+        .config("spark.sql.adaptive.coalescePartitions.minPartitionSize", "64k")
         # Call sites of every column expression: costly to collect, not needed here.
         .config("spark.python.sql.dataFrameDebugging.enabled", "false")
         .getOrCreate()

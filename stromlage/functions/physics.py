@@ -37,19 +37,30 @@ def clean_sentinel(
     )
 
 
+# Four digits of year, then month, day and hour within their ranges.
+HOUR_KEY = "^[0-9]{4}(0[1-9]|1[0-2])(0[1-9]|[12][0-9]|3[01])([01][0-9]|2[0-3])$"
+
+
 def parse_hour_key(key: Column) -> Column:
     """``YYYYMMDDHH`` as a zone-free timestamp; NULL when malformed.
 
     Built from its parts, so no session zone (and no daylight-saving gap) is
-    ever involved.
+    ever involved. The pattern keeps all but days such as 30 February from
+    being tried, since every failed try costs an exception.
     """
     part = [F.substring(key, at, width).try_cast("int") for at, width in
             ((1, 4), (5, 2), (7, 2), (9, 2))]
     return F.when(
-        key.rlike("^[0-9]{10}$"), F.try_make_timestamp_ntz(*part, F.lit(0), F.lit(0))
+        key.rlike(HOUR_KEY), F.try_make_timestamp_ntz(*part, F.lit(0), F.lit(0))
     )
 
 
+def full_hour(ts: Column) -> Column:
+    """The hour a zone-free timestamp lies in, without a detour through a zone."""
+    past = F.make_dt_interval(F.lit(0), F.lit(0), F.minute(ts), F.extract(F.lit("SECOND"), ts))
+    return ts - past
+
+
 def base_voltage(name: Column) -> Column:
     return F.when(is_330(name), fv.BASE_KV_330).otherwise(fv.BASE_KV_132)
 

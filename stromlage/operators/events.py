@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 
 from stromlage import fixed_values as fv
 from stromlage.functions.physics import (
+    full_hour,
     with_base_voltage,
     with_freq_offset,
     with_thermal_derating,
@@ -49,7 +50,7 @@ def event_windows(events: DataFrame, ramp: list[tuple] | None = None) -> DataFra
     unfolded = events.select(
         "corridor_id",
         "event_seq",
-        F.date_trunc("hour", "event_ts").cast("timestamp_ntz").alias("_at"),
+        full_hour(F.col("event_ts")).alias("_at"),
         F.inline(_ramp_rows(ramp or builtin_ramp())),
     )
     hours = unfolded.select(
@@ -69,7 +70,6 @@ def label_telemetry(
     """Add the effect and soft label of an event hour, else of the corridor, else none."""
     if ambient is None:
         ambient = F.broadcast(builtin_ambient(telemetry.sparkSession))
-    hour = F.date_trunc("hour", "timestamp").cast("timestamp_ntz")
     at_event = windows.select(
         "corridor_id",
         F.col("hour").alias("_hour"),
@@ -85,7 +85,7 @@ def label_telemetry(
         F.col("soft_label").alias("_al"),
     )
     joined = (
-        telemetry.withColumn("_hour", hour)
+        telemetry.withColumn("_hour", full_hour(F.col("timestamp")))
         .join(at_event, ["corridor_id", "_hour"], "left")
         .join(standing, "corridor_id", "left")
     )

@@ -34,13 +34,13 @@ TELEMETRY = _flat(
 )
 
 PERFORMANCE_RAW = _flat(
-    "disco_name STRING, year INT, customers_total BIGINT, customers_metered BIGINT, "
+    "disco_name STRING, year BIGINT, customers_total BIGINT, customers_metered BIGINT, "
     "collection_efficiency_pct DOUBLE, technical_losses_pct DOUBLE, "
     "commercial_losses_pct DOUBLE, energy_received_mwh DOUBLE, energy_billed_mwh DOUBLE"
 )
 
 PERFORMANCE = _flat(
-    "disco_name STRING, short_name STRING, year INT, customers_total BIGINT, "
+    "disco_name STRING, short_name STRING, year BIGINT, customers_total BIGINT, "
     "customers_metered BIGINT, collection_efficiency_pct DOUBLE, technical_losses_pct DOUBLE, "
     "commercial_losses_pct DOUBLE, energy_received_mwh DOUBLE, energy_billed_mwh DOUBLE, "
     "economic_loss_per_hr DOUBLE"

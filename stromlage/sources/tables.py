@@ -99,9 +99,10 @@ class VersionedTable:
     reader never sees half a write, and a change may read the version before.
     """
 
-    def __init__(self, spark: SparkSession, path: str):
+    def __init__(self, spark: SparkSession, path: str, schema: StructType | None = None):
         self.spark = spark
         self.path = path.rstrip("/")
+        self.schema = schema
 
     def version(self) -> int | None:
         try:
@@ -116,7 +117,8 @@ class VersionedTable:
         version = self.version()
         if version is None:
             raise MissingInput(self.path)
-        return self.spark.read.parquet(f"{self.path}/data/v{version}")
+        reader = self.spark.read if self.schema is None else self.spark.read.schema(self.schema)
+        return reader.parquet(f"{self.path}/data/v{version}")
 
     def write(self, df: DataFrame) -> int:
         version = (self.version() or 0) + 1
@@ -126,7 +128,8 @@ class VersionedTable:
         return version
 
     def ensure(self, schema: StructType) -> "VersionedTable":
-        """Create the table, empty, unless it exists."""
+        """Create the table, empty, unless it exists; reads then use ``schema``."""
+        self.schema = schema
         if self.version() is None:
             self.write(self.spark.createDataFrame([], schema))
         return self

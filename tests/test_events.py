@@ -5,6 +5,7 @@ import datetime as dt
 from pyspark.sql import functions as F
 
 from stromlage.operators import events
+from stromlage.session import settings
 
 WINDOW = "event_seq INT, corridor_id BIGINT, event_ts TIMESTAMP_NTZ"
 
@@ -19,6 +20,17 @@ def test_one_event(spark, at):
                      (1, 13): 0.82, (1, 14): 1.0}
 
 
+def test_windows_ignore_the_session_zone(spark):
+    """Hours around a clock change elsewhere are hours like all others."""
+    event = spark.createDataFrame([(1, 1, dt.datetime(2025, 3, 30, 3, 20))], WINDOW)
+    t = spark.createDataFrame([(1, dt.datetime(2025, 3, 30, 2, 40))],
+                              "corridor_id BIGINT, timestamp TIMESTAMP_NTZ")
+    with settings(spark, {"spark.sql.session.timeZone": "Europe/Berlin"}):
+        windows = events.event_windows(event)
+        assert labels(windows)[1, 2] == 0.82 and windows.count() == 7
+        assert events.label_telemetry(t, windows).head().failure_event == 0.82
+
+
 def test_collapse_beats_a_ramp_and_the_first_event_wins(spark, at):
     both = spark.createDataFrame([(1, 1, at(12, 29, 14)), (2, 1, at(12, 29, 16))], WINDOW)
     found = labels(events.event_windows(both))

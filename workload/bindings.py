@@ -9,7 +9,7 @@ from weakref import WeakKeyDictionary
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from stromlage.functions.physics import clean_sentinel
+from stromlage.functions.physics import clean_sentinel, full_hour
 from stromlage.functions.risk import with_economic_loss, with_infra_score
 from stromlage.session import tune
 
@@ -76,8 +76,7 @@ TELEMETRY = """telemetry AS (
 
 def hourly(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Telemetry on full hours, so that an instant has many corridors."""
-    hour = F.date_trunc("hour", "timestamp").cast("timestamp_ntz")
-    return telemetry(spark, sf_dir).withColumn("timestamp", hour)
+    return telemetry(spark, sf_dir).withColumn("timestamp", full_hour(F.col("timestamp")))
 
 
 HOURLY = TELEMETRY + """, hourly AS (
