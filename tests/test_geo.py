@@ -29,18 +29,23 @@ def distance(lat1, lon1, lat2, lon2):
     return 2 * 6_371_000.0 * math.asin(min(1.0, math.sqrt(a)))
 
 
-@pytest.mark.parametrize("lat, lon", [(9.0, 7.0), (0.0, 179.95), (0.0, -179.9), (78.0, 15.0),
-                                      (89.9, 0.0), (-89.95, 120.0)])
-def test_radius_join_equals_brute_force(spark, lat, lon):
-    rnd = random.Random(5)
+def around(lat, lon, n, seed=5):
+    """Points around a place, far enough to lie outside of most circles."""
+    rnd = random.Random(seed)
     wide = min(170.0, 1.0 / max(0.005, math.cos(math.radians(abs(lat)))))
+    return [
+        (k, max(-90.0, min(90.0, lat + rnd.uniform(-0.5, 0.5))),
+         (lon + rnd.uniform(-wide, wide) + 180) % 360 - 180)
+        for k in range(n)
+    ]
+
 
-    def place(k):
-        where = max(-90.0, min(90.0, lat + rnd.uniform(-0.5, 0.5)))
-        return k, where, (lon + rnd.uniform(-wide, wide) + 180) % 360 - 180
+PLACES = [(9.0, 7.0), (0.0, 179.95), (0.0, -179.9), (78.0, 15.0), (89.9, 0.0), (-89.95, 120.0)]
 
-    centres = [place(k) for k in range(12)]
-    points = [place(k) for k in range(1500)]
+
+@pytest.mark.parametrize("lat, lon", PLACES)
+def test_radius_join_equals_brute_force(spark, lat, lon):
+    centres, points = around(lat, lon, 12, seed=1), around(lat, lon, 1500)
     c = spark.createDataFrame(centres, "id BIGINT, latitude DOUBLE, longitude DOUBLE")
     p = spark.createDataFrame(points, "poi_id BIGINT, lat DOUBLE, lon DOUBLE")
     found = {(r.corridor_id, r.poi_id) for r in geo.poi_within(c, p).collect()}
@@ -49,6 +54,21 @@ def test_radius_join_equals_brute_force(spark, lat, lon):
     assert geo.poi_within(c, p).count() == len(found)
 
 
+@pytest.mark.parametrize("lat, lon", PLACES)
+@pytest.mark.parametrize("cell", [0.05, 0.02])
+def test_counts_equal_brute_force(spark, lat, lon, cell):
+    centres, points = around(lat, lon, 8, seed=2), around(lat, lon, 4000)
+    c = spark.createDataFrame(centres, "id BIGINT, latitude DOUBLE, longitude DOUBLE")
+    p = spark.createDataFrame(
+        [(y, x, "hospital" if k % 2 else "school", "", "") for k, y, x in points],
+        "lat DOUBLE, lon DOUBLE, " + TAGS)
+    found = {r.corridor_id: (r.hospital_count, r.school_count)
+             for r in geo.infra_counts(c, p, cell=cell).collect()}
+    near = {a[0]: [b[0] % 2 for b in points if distance(*a[1:], *b[1:]) <= 20_000] for a in centres}
+    assert found == {k: (sum(v), len(v) - sum(v)) for k, v in near.items()}
+    assert sum(map(sum, near.values())) > 10
+
+
 def test_counts_are_zero_filled_and_copies_count(spark):
     c = spark.createDataFrame([(1, 9.0, 7.0), (2, 20.0, 20.0)],
                               "id BIGINT, latitude DOUBLE, longitude DOUBLE")
