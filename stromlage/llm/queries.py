@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from stromlage.llm.common import documents
+from stromlage.llm.fingerprints import compare_with_next
 from stromlage.llm.token_counts import token_counts
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -31,3 +32,8 @@ def query(name: str, sql: str | None = None) -> Callable[[Query], Query]:
 def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
     counted = token_counts(documents(spark, sf_dir), BYTE_BPE)
     return counted.withColumn("over_limit", F.col("n_tokens") > 512)
+
+
+@query("op7_fingerprints")
+def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return compare_with_next(documents(spark, sf_dir))
