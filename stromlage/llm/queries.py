@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from stromlage.llm.common import documents
 from stromlage.llm.fingerprints import compare_with_next
+from stromlage.llm.quality import judge
 from stromlage.llm.token_counts import token_counts
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -37,3 +38,8 @@ def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op7_fingerprints")
 def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
     return compare_with_next(documents(spark, sf_dir))
+
+
+@query("op5_quality")
+def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return judge(documents(spark, sf_dir))
