@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from stromlage.llm.common import documents
 from stromlage.llm.fingerprints import compare_with_next
+from stromlage.llm.pseudonyms import pseudonymise
 from stromlage.llm.quality import judge
 from stromlage.llm.token_counts import token_counts
 
@@ -43,3 +44,15 @@ def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op5_quality")
 def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judge(documents(spark, sf_dir))
+
+
+#: Not a secret: pseudonyms of test tables only. Real runs pass a key of their own.
+KEY = "stromlage"
+
+
+@query("op9_pseudonyms")
+def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir).select("doc_id", "text", F.col("text").alias("_before"))
+    return pseudonymise(docs, KEY).select(
+        "doc_id", "text", (~F.col("text").eqNullSafe(F.col("_before"))).alias("changed")
+    )
