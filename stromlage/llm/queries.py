@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from stromlage.llm.common import documents
 from stromlage.llm.fingerprints import compare_with_next
+from stromlage.llm.line_dedup import line_decisions
 from stromlage.llm.pseudonyms import pseudonymise
 from stromlage.llm.quality import judge
 from stromlage.llm.token_counts import token_counts
@@ -56,3 +57,8 @@ def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pseudonymise(docs, KEY).select(
         "doc_id", "text", (~F.col("text").eqNullSafe(F.col("_before"))).alias("changed")
     )
+
+
+@query("op4_line_dedup")
+def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_decisions(documents(spark, sf_dir))
