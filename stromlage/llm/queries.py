@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from stromlage.llm.common import documents
 from stromlage.llm.fingerprints import compare_with_next
+from stromlage.llm.jaccard_join import linked_documents
 from stromlage.llm.line_dedup import line_decisions
 from stromlage.llm.pseudonyms import pseudonymise
 from stromlage.llm.quality import judge
@@ -62,3 +63,39 @@ def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op4_line_dedup")
 def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_decisions(documents(spark, sf_dir))
+
+
+# All pairs of sets by brute force; components by reachability.
+OP10_SQL = r"""
+WITH RECURSIVE cut AS (
+    SELECT doc_id, regexp_extract_all(
+        translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w
+    FROM documents
+), grams AS (
+    SELECT DISTINCT doc_id, unnest(CASE
+        WHEN len(w) = 0 THEN CAST([] AS VARCHAR[])
+        WHEN len(w) < 4 THEN [array_to_string(w, ' ')]
+        ELSE list_transform(range(1, len(w) - 2), lambda i: array_to_string(w[i:i + 3], ' ')) END) AS g
+    FROM cut
+), sizes AS (
+    SELECT doc_id, count(*) AS n FROM grams GROUP BY doc_id
+), overlaps AS (
+    SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS c
+    FROM grams x JOIN grams y ON x.g = y.g AND x.doc_id < y.doc_id GROUP BY ALL
+), links AS (
+    SELECT a, b FROM overlaps JOIN sizes s ON s.doc_id = a JOIN sizes t ON t.doc_id = b WHERE 100 * c >= 85 * (s.n + t.n - c)
+), both_ways AS (
+    SELECT a, b FROM links UNION ALL SELECT b, a FROM links
+), reach AS (
+    SELECT doc_id AS a, doc_id AS b FROM documents
+    UNION SELECT r.a, l.b FROM reach r JOIN both_ways l ON l.a = r.b
+)
+SELECT d.doc_id, coalesce(s.n, 0) AS n_shingles, r.component_id
+FROM documents d LEFT JOIN sizes s USING (doc_id)
+JOIN (SELECT a AS doc_id, min(b) AS component_id FROM reach GROUP BY a) r USING (doc_id)
+"""
+
+
+@query("op10_ngram_jaccard", OP10_SQL)
+def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return linked_documents(documents(spark, sf_dir))
