@@ -10,6 +10,7 @@ from stromlage.llm.common import documents
 from stromlage.llm.fingerprints import compare_with_next
 from stromlage.llm.jaccard_join import linked_documents
 from stromlage.llm.line_dedup import line_decisions
+from stromlage.llm.packing import pack
 from stromlage.llm.pseudonyms import pseudonymise
 from stromlage.llm.quality import judge
 from stromlage.llm.token_counts import token_counts
@@ -20,6 +21,7 @@ QUERIES: dict[str, Query] = {}
 ORACLES: dict[str, str] = {}
 
 BYTE_BPE = public_tokenizers.path("byte_bpe_50k.json")
+BYTE_BPE_RANKS = public_tokenizers.path("byte_bpe_50k.tiktoken")
 
 
 def query(name: str, sql: str | None = None) -> Callable[[Query], Query]:
@@ -99,3 +101,8 @@ JOIN (SELECT a AS doc_id, min(b) AS component_id FROM reach GROUP BY a) r USING
 @query("op10_ngram_jaccard", OP10_SQL)
 def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     return linked_documents(documents(spark, sf_dir))
+
+
+@query("op3_packing")
+def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pack(documents(spark, sf_dir), BYTE_BPE, BYTE_BPE_RANKS, public_tokenizers.PATTERN)
