@@ -38,7 +38,7 @@ NGRAM = 4
 #: Linked when 100 * intersection >= PERCENT * union.
 PERCENT = 85
 #: Turns of star links before all remaining pairs meet; fewer if one brings nothing new.
-STAR_TURNS = 3
+STAR_TURNS = 4
 #: Share of the columns that the first product takes: above the share a
 #: document may have alone, or it would rule out nothing.
 FIRST_COLUMNS = 0.25
@@ -159,19 +159,24 @@ def _star(postings: DataFrame, turn: int, percent: int) -> DataFrame:
     )
 
 
-def _product(postings: DataFrame, percent: int) -> DataFrame:
-    """All pairs of different components whose accumulated overlap leaves the threshold within reach."""
-    left = postings.select("gram", *[F.col(c).alias(f"{c}a") for c in ("sig", "n", "m", "p", "component")])
-    right = postings.select("gram", *[F.col(c).alias(f"{c}b") for c in ("sig", "n", "m", "p", "component")])
+def _product(postings: DataFrame, rows: DataFrame, percent: int) -> DataFrame:
+    """All pairs (a, b) of different components whose overlap in the prefixes leaves the threshold within reach.
+
+    A pair is made in the first column that both have, where its whole overlap in the prefixes is known.
+    """
+    prefix = F.slice("grams", F.lit(1), F.col("p").cast("int")).alias("prefix")
+    full = postings.join(rows.select("sig", prefix), "sig")
+    side = lambda x: full.select("gram", *[F.col(c).alias(c + x) for c in ("sig", "n", "m", "p", "component", "prefix")])
+    shared = F.array_intersect("prefixa", "prefixb")
+    behind = F.greatest(F.col("ma") - F.col("pa"), F.col("mb") - F.col("pb"))
     meet = (
         (F.col("siga") < F.col("sigb")) & (F.col("componenta") != F.col("componentb"))
         & _enough(F.least("ma", "mb"), F.col("na"), F.col("nb"), percent)
+        & (F.element_at(shared, 1) == F.col("l.gram"))
+        & _enough(F.size(shared) + behind, F.col("na"), F.col("nb"), percent)
     )
-    overlaps = left.join(right, "gram").where(meet).groupBy("siga", "sigb", "na", "nb").agg(
-        F.count("*").alias("c"), F.first(F.greatest(F.col("ma") - F.col("pa"), F.col("mb") - F.col("pb"))).alias("behind")
-    )
-    within = _enough(F.col("c") + F.col("behind"), F.col("na"), F.col("nb"), percent)
-    return overlaps.where(within).select(F.col("siga").alias("a"), F.col("sigb").alias("b"))
+    met = side("a").alias("l").join(side("b").alias("r"), (F.col("l.gram") == F.col("r.gram")) & meet)
+    return met.select(F.col("siga").alias("a"), F.col("sigb").alias("b"))
 
 
 def _components(rows: DataFrame, percent: int) -> DataFrame:
@@ -191,7 +196,7 @@ def _components(rows: DataFrame, percent: int) -> DataFrame:
             mixed = labelled.groupBy("gram").agg(F.min("component").alias("_a"), F.max("component").alias("_b"))
             postings = labelled.join(mixed.where(F.col("_a") != F.col("_b")).select("gram"), "gram", "left_semi")
         postings = stage(postings, "postings")
-        pairs = _product(postings, percent) if whole else _star(postings, turn, percent)
+        pairs = _product(postings, rows, percent) if whole else _star(postings, turn, percent)
         new = stage(_exact(pairs, rows, percent), "pairs")
         some = bool(new.limit(1).count())
         if some or links is None:
@@ -203,6 +208,24 @@ def _components(rows: DataFrame, percent: int) -> DataFrame:
         whole = not some or turn == STAR_TURNS
 
 
+def _labelled(docs: DataFrame, doc_id: str, text: str, size: int, percent: int) -> tuple[DataFrame, DataFrame]:
+    """(doc_id, th, n, sig) of every row, and (sig, component) of every set of n-grams."""
+    body = F.col(f"`{text}`")
+    source = docs.select(F.col(f"`{doc_id}`").cast("long").alias("doc_id"), F.xxhash64(body).alias("th"), body.alias("text"))
+    signed = _signed(source, size)
+    few = stage(_may_link(signed, percent), "candidates").alias("f")
+    # Whatever the number of candidates, the same join: a plan that changes with the size would hide its cost.
+    texts = source.alias("s").join(
+        few.hint("merge"), (F.col("s.th") == F.col("f.th")) & F.col("s.doc_id").eqNullSafe(F.col("f.doc_id"))
+    ).select("sig", "text")
+    found = _components(_rows(_sets(texts, size), percent), percent)
+    named = signed.where(F.col("n") > 0).select("sig").distinct()
+    labels = named.join(found.withColumnRenamed("node", "sig"), "sig", "left").withColumn(
+        "component", F.coalesce("component", "sig")
+    )
+    return signed.drop("some"), labels
+
+
 def linked_documents(
     docs: DataFrame, doc_id: str = "doc_id", text: str = "text", size: int = NGRAM, percent: int = PERCENT
 ) -> DataFrame:
@@ -215,23 +238,31 @@ def linked_documents(
     are named null if nothing in them has an id. N-grams and sets are told
     apart by 64-bit hashes.
     """
-    body = F.col(f"`{text}`")
-    source = docs.select(F.col(f"`{doc_id}`").cast("long").alias("doc_id"), F.xxhash64(body).alias("th"), body.alias("text"))
-    signed = _signed(source, size)
-    few = stage(_may_link(signed, percent), "candidates").alias("f")
-    texts = source.alias("s").join(
-        few, (F.col("s.th") == F.col("f.th")) & F.col("s.doc_id").eqNullSafe(F.col("f.doc_id"))
-    ).select("sig", "text")
-    rows = _rows(_sets(texts, size), percent)
-    found = _components(rows, percent)
-    named = signed.where(F.col("n") > 0).groupBy("sig").agg(F.min("doc_id").alias("_id"))
-    labelled = named.join(found.withColumnRenamed("node", "sig"), "sig", "left").withColumn(
-        "component", F.coalesce("component", "sig")
-    )
-    least = labelled.groupBy("component").agg(F.min("_id").alias("component_id"))
-    of = labelled.join(least, "component").select("sig", "component_id")
+    signed, labels = _labelled(docs, doc_id, text, size, percent)
+    words = signed.where(F.col("n") > 0).join(labels, "sig")
+    least = words.groupBy("component").agg(F.min("doc_id").alias("component_id"))
     empty = signed.where(F.col("n") == 0).select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id"))
     return (
-        signed.where(F.col("n") > 0).join(of, "sig")
-        .select("doc_id", F.col("n").alias("n_shingles"), "component_id").unionByName(empty)
+        words.join(least, "component").select("doc_id", F.col("n").alias("n_shingles"), "component_id").unionByName(empty)
+    )
+
+
+def keep_one_of_each(
+    docs: DataFrame, doc_id: str = "doc_id", text: str = "text", size: int = NGRAM, percent: int = PERCENT
+) -> DataFrame:
+    """``docs`` without all but the first document of each component, with all their columns.
+
+    First is the lowest (doc_id, hash of the text), rows without an id last.
+    Rows with the same id and text are one document: they stay or go together.
+    Texts without words link to nothing and stay.
+    """
+    signed, labels = _labelled(docs, doc_id, text, size, percent)
+    order = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "th")
+    words = signed.where(F.col("n") > 0).join(labels, "sig")
+    first = words.groupBy("component").agg(F.min(order).alias("first"))
+    gone = words.join(first, "component").where(order != F.col("first")).select("doc_id", "th").distinct()
+    return docs.alias("d").join(
+        gone.alias("g"),
+        F.col(f"d.`{doc_id}`").cast("long").eqNullSafe(F.col("g.doc_id")) & (F.xxhash64(F.col(f"d.`{text}`")) == F.col("g.th")),
+        "left_anti",
     )
