@@ -2,15 +2,18 @@
 
 from collections.abc import Callable
 
+import corpus_pipeline
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from stromlage.llm.backoff import backoff_scores
 from stromlage.llm.common import documents
 from stromlage.llm.fingerprints import compare_with_next
 from stromlage.llm.jaccard_join import linked_documents
 from stromlage.llm.line_dedup import line_decisions
 from stromlage.llm.packing import pack
+from stromlage.llm.pieces import decode, encode
 from stromlage.llm.pseudonyms import pseudonymise
 from stromlage.llm.quality import judge
 from stromlage.llm.token_counts import token_counts
@@ -21,6 +24,7 @@ QUERIES: dict[str, Query] = {}
 ORACLES: dict[str, str] = {}
 
 BYTE_BPE = public_tokenizers.path("byte_bpe_50k.json")
+PIECES = public_tokenizers.path("piece_bpe_32k.model")
 BYTE_BPE_RANKS = public_tokenizers.path("byte_bpe_50k.tiktoken")
 
 
@@ -81,11 +85,11 @@ WITH RECURSIVE cut AS (
     FROM cut
 ), sizes AS (
     SELECT doc_id, count(*) AS n FROM grams GROUP BY doc_id
-), overlaps AS (
+), shared AS (
     SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS c
     FROM grams x JOIN grams y ON x.g = y.g AND x.doc_id < y.doc_id GROUP BY ALL
 ), links AS (
-    SELECT a, b FROM overlaps JOIN sizes s ON s.doc_id = a JOIN sizes t ON t.doc_id = b WHERE 100 * c >= 85 * (s.n + t.n - c)
+    SELECT a, b FROM shared JOIN sizes s ON s.doc_id = a JOIN sizes t ON t.doc_id = b WHERE 100 * c >= 85 * (s.n + t.n - c)
 ), both_ways AS (
     SELECT a, b FROM links UNION ALL SELECT b, a FROM links
 ), reach AS (
@@ -106,3 +110,53 @@ def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op3_packing")
 def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(documents(spark, sf_dir), BYTE_BPE, BYTE_BPE_RANKS, public_tokenizers.PATTERN)
+
+
+OP6_SQL = r"""
+WITH cut AS (
+    SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS ws FROM documents
+), positions AS (
+    SELECT doc_id, len(ws) AS n_words, unnest(list_prepend('', ws[:-2])) AS v, unnest(ws) AS w FROM cut WHERE len(ws) > 0
+), own AS (
+    SELECT doc_id, n_words, v, w, count(*) AS n FROM positions GROUP BY ALL
+), pairs AS (
+    SELECT v, w, sum(n) AS c FROM own GROUP BY ALL
+), firsts AS (
+    SELECT v, sum(n) AS c FROM own GROUP BY v
+), words AS (
+    SELECT w, sum(n) AS c FROM own GROUP BY w
+), own_firsts AS (
+    SELECT doc_id, v, sum(n) AS c FROM own GROUP BY ALL
+), own_words AS (
+    SELECT doc_id, w, sum(n) AS c FROM own GROUP BY ALL
+), scored AS (
+    SELECT own.doc_id, own.n, own.n_words, pairs.c > own.n AS seen,
+        CASE WHEN pairs.c > own.n THEN ln((pairs.c - own.n)::DOUBLE) - ln((firsts.c - own_firsts.c)::DOUBLE)
+        ELSE ln(0.4) + ln(greatest(words.c - own_words.c, 1)::DOUBLE)
+            - ln(greatest((SELECT sum(n) FROM own) - own.n_words, 1)::DOUBLE) END AS score
+    FROM own JOIN pairs USING (v, w) JOIN firsts USING (v) JOIN words USING (w)
+    JOIN own_firsts ON own_firsts.doc_id = own.doc_id AND own_firsts.v = own.v
+    JOIN own_words ON own_words.doc_id = own.doc_id AND own_words.w = own.w
+), totals AS (
+    SELECT doc_id, CAST(sum(n) AS BIGINT) AS n_words, CAST(sum(n) FILTER (NOT seen) AS BIGINT) AS n_unseen, sum(n * score) AS log_score
+    FROM scored GROUP BY doc_id
+)
+SELECT doc_id, coalesce(n_words, 0) AS n_words, coalesce(n_unseen, 0) AS n_unseen, round(coalesce(log_score, 0), 3) AS log_score
+FROM (SELECT DISTINCT doc_id FROM documents) LEFT JOIN totals USING (doc_id)
+"""
+
+
+@query("op6_stupid_backoff", OP6_SQL)
+def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return backoff_scores(documents(spark, sf_dir)).withColumn("log_score", F.round("log_score", 3))
+
+
+@query("pipeline", corpus_pipeline.ORACLE_SQL)
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return corpus_pipeline.run(spark, sf_dir)
+
+
+@query("op2_sentencepiece")
+def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
+    decoded = decode(encode(documents(spark, sf_dir), PIECES), PIECES)
+    return decoded.select("doc_id", "n_ids", "ids_crc32", F.sha2("text", 256).alias("decoded_sha256"))
