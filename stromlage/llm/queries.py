@@ -16,6 +16,7 @@ from stromlage.llm.packing import pack
 from stromlage.llm.pieces import decode, encode
 from stromlage.llm.pseudonyms import pseudonymise
 from stromlage.llm.quality import judge
+from stromlage.llm.suffix_dedup import remove_repeats
 from stromlage.llm.token_counts import token_counts
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -160,3 +161,8 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
     decoded = decode(encode(documents(spark, sf_dir), PIECES), PIECES)
     return decoded.select("doc_id", "n_ids", "ids_crc32", F.sha2("text", 256).alias("decoded_sha256"))
+
+
+@query("op1_suffix_dedup")
+def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return remove_repeats(documents(spark, sf_dir)).drop("kept", "removed")
