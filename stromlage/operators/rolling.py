@@ -1,10 +1,9 @@
 """Windows over an entity's rows in time, also when one entity is most of the data.
 
-A window partitioned by entity puts all rows of an entity into one task. That is
-the right plan until an entity is too long. Entities over a limit are instead cut
-into range slices of time; a window of limited reach then only needs, besides
-its slice, the last few rows before it (the halo). The result is the same, row
-for row, whatever the gaps in the series.
+A window partitioned by entity puts all rows of an entity into one task. Here
+all rows are cut into range slices of (entity, time) instead; a window of limited
+reach then only needs, besides its slice, the last few rows before it (the
+halo). The result is the same, row for row, whatever the gaps in the series.
 """
 
 from collections.abc import Callable
@@ -16,27 +15,11 @@ from pyspark.sql.window import Window, WindowSpec
 from stromlage.operators.ordering import range_slices
 from stromlage.session import stage
 
-# Rows of one entity that one task may hold in a window; sorts spill beyond memory.
-ROWS_PER_TASK = 20_000_000
-
-# Entities over the limit that are still named one by one in a filter.
-MAX_NAMED = 10_000
-
 Columns = Callable[[WindowSpec], dict[str, Column]]
 
 
-def long_entities(df: DataFrame, entity: str, limit: int) -> list | None:
-    """Entities with more than ``limit`` rows; None when too many to name.
-
-    Reads one column and shuffles one partial count per entity and task. Given a
-    table before its joins, the counts are upper bounds for the joined rows.
-    """
-    counts = df.groupBy(entity).agg(F.count("*").alias("n")).filter(F.col("n") > limit)
-    found = [row[0] for row in counts.select(entity).limit(MAX_NAMED + 1).collect()]
-    return found if len(found) <= MAX_NAMED else None
-
-
 def roll(df: DataFrame, entity: str, ts: str, columns: Columns) -> DataFrame:
+    """The plain form, one task for each entity; for entities known to be short."""
     return df.withColumns(columns(Window.partitionBy(entity).orderBy(ts)))
 
 

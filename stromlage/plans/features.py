@@ -12,8 +12,8 @@ from stromlage.functions.physics import (
     with_voltage_deviation,
 )
 from stromlage.operators.joins import join_latest, join_weather
-from stromlage.operators.rolling import ROWS_PER_TASK, long_entities, roll, roll_sliced
-from stromlage.session import SUBSET_KEYS, settings
+from stromlage.operators.rolling import roll_sliced
+from stromlage.session import stage
 from stromlage.sources.readers import read_parquet
 from stromlage.sources.writers import overwrite_table
 
@@ -44,14 +44,13 @@ def joined_telemetry(
     weather: DataFrame,
     corridors: DataFrame,
     performance: DataFrame,
-    by_entity: bool = False,
 ) -> DataFrame:
     """Telemetry with weather, corridor and loss, and its row-wise features.
 
-    Corridor and performance meet first: two small tables make one dimension,
-    and the long table is joined to it once.
+    Corridor and performance meet first, in a table of their own: its size is
+    known, so the long table is not shuffled to meet it unless it is large.
     """
-    dim = join_latest(
+    dim = stage(join_latest(
         corridors.select(
             F.col("id").alias("corridor_id"),
             F.col("name").alias("corridor_name"),
@@ -59,11 +58,11 @@ def joined_telemetry(
             "critical_infra_score",
         ),
         performance,
-    )
+    ), "dimension")
     measured = telemetry.select(
         "corridor_id", "timestamp", "voltage_kv", "frequency_hz", "failure_event"
     )
-    rows = join_weather(measured, weather, by_entity).join(dim, "corridor_id")
+    rows = join_weather(measured, weather).join(dim, "corridor_id")
     return with_calendar(with_voltage_deviation(with_freq_deviation(rows)))
 
 
@@ -72,36 +71,15 @@ def engineer_features(
     weather: DataFrame,
     corridors: DataFrame,
     performance: DataFrame,
-    rows_per_task: int = ROWS_PER_TASK,
+    slices: int | None = None,
 ) -> DataFrame:
     """The feature table: rows whose lag windows are filled.
 
     Windows run over the joined rows, so a row the joins drop takes no part in
-    them. Corridors longer than ``rows_per_task`` are cut into slices of time.
-    Where the session lets a join use a partitioning by some of its keys, the
-    others are shuffled once, by corridor, for joins and windows alike.
+    them. All corridors are cut into slices of time, long and short ones alike.
     """
-    entity, ts = "corridor_id", "timestamp"
-    long = long_entities(telemetry, entity, rows_per_task)
-    by_entity = telemetry.sparkSession.conf.get(SUBSET_KEYS) == "false"
-
-    def whole(t: DataFrame, w: DataFrame) -> DataFrame:
-        joined = joined_telemetry(t, w, corridors, performance, by_entity)
-        return roll(joined, entity, ts, window_columns)
-
-    def sliced(t: DataFrame, w: DataFrame) -> DataFrame:
-        joined = joined_telemetry(t, w, corridors, performance)
-        return roll_sliced(joined, entity, ts, window_columns, WINDOW_INPUTS, REACH)
-
-    if long is None:
-        rolled = sliced(telemetry, weather)
-    elif not long:
-        rolled = whole(telemetry, weather)
-    else:
-        is_long = F.col(entity).isin(long)
-        rolled = whole(telemetry.filter(~is_long), weather.filter(~is_long)).unionByName(
-            sliced(telemetry.filter(is_long), weather.filter(is_long))
-        )
+    joined = joined_telemetry(telemetry, weather, corridors, performance)
+    rolled = roll_sliced(joined, "corridor_id", "timestamp", window_columns, WINDOW_INPUTS, REACH, slices)
     filled = rolled.filter(F.col("volt_lag_2h").isNotNull() & F.col("freq_lag_3h").isNotNull())
     return filled.select(*schemas.MODEL_FEATURES.fieldNames())
 
@@ -112,19 +90,11 @@ def build_feature_table(
     corridors: DataFrame,
     performance: DataFrame,
     path: str,
-    rows_per_task: int = ROWS_PER_TASK,
+    slices: int | None = None,
 ) -> DataFrame:
-    """Drop and recreate the feature table at ``path``; returns it.
-
-    Both long inputs are shuffled once each. The setting that allows it holds
-    for this write alone: elsewhere a join on some of its keys could meet one
-    that dominates, which is ruled out here by the check on row counts.
-    """
-    spark = telemetry.sparkSession
-    with settings(spark, {SUBSET_KEYS: "false"}):
-        rows = engineer_features(telemetry, weather, corridors, performance, rows_per_task)
-        overwrite_table(rows, path)
-    return read_parquet(spark, path, schemas.MODEL_FEATURES)
+    """Drop and recreate the feature table at ``path``; returns it."""
+    overwrite_table(engineer_features(telemetry, weather, corridors, performance, slices), path)
+    return read_parquet(telemetry.sparkSession, path, schemas.MODEL_FEATURES)
 
 
 def feature_frame(df: DataFrame) -> DataFrame:

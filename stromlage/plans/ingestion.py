@@ -52,7 +52,7 @@ def load_corridors(table: VersionedTable, corridors: DataFrame) -> int | None:
 
 def load_weather(table: VersionedTable, payloads: DataFrame) -> int | None:
     """Upsert the readable hours of landed payloads; malformed hours are reported."""
-    good, bad = split_malformed(weather_rows(payloads))
+    good, bad = split_malformed(stage(weather_rows(payloads), "hours"))
     skipped = bad.count()
     if skipped:
         logger.warning("skipping %d malformed hours", skipped)
@@ -89,9 +89,10 @@ def performance_with_loss(raw: DataFrame, map_df: DataFrame | None = None) -> Da
     )
 
 
-def report_unmapped(raw: DataFrame, map_df: DataFrame, shown: int = 20) -> list[str]:
-    """Warn about names the map lacks; returns the first few."""
-    names = [row[0] for row in unmapped(raw, map_df).limit(shown).collect()]
-    if names:
-        logger.warning("names without a short name, they will not join: %s", names)
+def report_unmapped(raw: DataFrame, map_df: DataFrame) -> DataFrame:
+    """All names that the map lacks, with a warning that counts them."""
+    names = stage(unmapped(raw, map_df), "unmapped")
+    n = names.count()
+    if n:
+        logger.warning("%d names without a short name will not join", n)
     return names

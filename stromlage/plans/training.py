@@ -29,9 +29,11 @@ class Params:
     column_share: float = 0.8
     min_rows: int = 1
     seed: int = 42
-    # Weight of rows labelled at least ``positive_at``; None: normal / failures.
-    positive_weight: float | None = None
+    # Rows labelled at least this count as failures in the class ratio and in reports.
     positive_at: float = 0.5
+    # Weight of rows labelled at least ``weight_at``, certain failures; None: normal / failures.
+    positive_weight: float | None = None
+    weight_at: float = 1.0
 
 
 def filler() -> Imputer:
@@ -46,7 +48,7 @@ def assembler() -> VectorAssembler:
 
 
 def expand_soft_labels(
-    df: DataFrame, positive_weight: float = 1.0, positive_at: float = 0.5, label: str = fv.TARGET
+    df: DataFrame, positive_weight: float = 1.0, weight_at: float = 1.0, label: str = fv.TARGET
 ) -> DataFrame:
     """Each row as a positive of weight y and a negative of weight 1 - y.
 
@@ -54,7 +56,7 @@ def expand_soft_labels(
     Halves of weight zero are dropped; unlabelled rows go.
     """
     y = F.col(label)
-    factor = F.when(y >= positive_at, F.lit(float(positive_weight))).otherwise(F.lit(1.0))
+    factor = F.when(y >= weight_at, F.lit(float(positive_weight))).otherwise(F.lit(1.0))
     halves = F.array(
         F.struct(F.lit(1.0).alias("label"), (y * factor).alias("weight")),
         F.struct(F.lit(0.0).alias("label"), ((F.lit(1.0) - y) * factor).alias("weight")),
@@ -70,7 +72,7 @@ def train(features: DataFrame, params: Params = Params()) -> PipelineModel:
         weight = 1.0 if ratio is None else ratio
     used = features.select(*fv.FEATURES, fv.TARGET)
     filled, vectors = filler().fit(used), assembler()
-    rows = expand_soft_labels(used, weight, params.positive_at)
+    rows = expand_soft_labels(used, weight, params.weight_at)
     # Every round reads these rows again: a table, not a plan.
     rows = stage(vectors.transform(filled.transform(rows)).select("features", "label", "weight"),
                  "training")

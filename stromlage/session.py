@@ -29,10 +29,6 @@ def tune(spark: SparkSession) -> SparkSession:
     return spark
 
 
-# With this off, two sides partitioned by some of the join keys join as they are.
-SUBSET_KEYS = "spark.sql.requireAllClusterKeysForCoPartition"
-
-
 @contextmanager
 def settings(spark: SparkSession, wanted: dict[str, str]) -> Iterator[None]:
     """Runtime settings for the plans executed inside, put back afterwards."""

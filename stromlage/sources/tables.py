@@ -1,6 +1,7 @@
 """Versioned Parquet tables and upserts (K1, K3-K6)."""
 
 import logging
+import uuid
 from collections.abc import Sequence
 
 from pyspark.errors import AnalysisException
@@ -16,9 +17,6 @@ logger = logging.getLogger(__name__)
 
 AUDIT_COLUMNS = ("created_at", "updated_at", "scored_at")
 
-# Update batches up to this many rows are sent to every executor.
-SMALL_BATCH = 200_000
-
 
 def _written(column: str, update_cols: Sequence[str]) -> Column:
     """Value a column takes in a row that is new to the table."""
@@ -35,7 +33,6 @@ def upsert(
     keys: Sequence[str],
     update_cols: Sequence[str],
     touch: str | None = None,
-    small: bool = False,
 ) -> DataFrame:
     """``target`` with ``updates`` applied by key, as a new frame.
 
@@ -43,9 +40,10 @@ def upsert(
     ``touch`` becomes the current time; its other columns stay. A new key is
     inserted, audit columns set to now. Keys must be unique on both sides.
 
-    The general form is one full outer join. With ``small`` (a batch whose row
-    count was checked) the target is never shuffled: the batch is broadcast
-    to it, and a second pass over the key columns finds the new keys.
+    The target is joined to the batch, and the batch to those of its keys that
+    the target has. Where the batch is a table (as ``VersionedTable`` makes it),
+    Spark knows its size in bytes: a small one is sent to the target, which is
+    then not shuffled; for a large one both are, and skewed keys may be split.
     """
     keys, update_cols = list(keys), list(update_cols)
     batch = updates.select(*keys, *update_cols).withColumn("_hit", F.lit(True))
@@ -53,30 +51,17 @@ def upsert(
     on = [F.col(f"t.{k}") == F.col(f"u.{k}") for k in keys]
     hit = F.coalesce(F.col("u._hit"), F.lit(False))
 
-    def merged(column: str, is_new: Column | None) -> Column:
-        kind = target.schema[column].dataType
-        if column in keys:
-            value = F.coalesce(F.col(f"t.{column}"), F.col(f"u.{column}"))
-            return value.cast(kind).alias(column)
-        old = F.col(f"t.{column}")
+    def merged(column: str) -> Column:
+        kind, old = target.schema[column].dataType, F.col(f"t.{column}")
         if column in update_cols:
             old = F.when(hit, F.col(f"u.{column}").cast(kind)).otherwise(old)
         elif column == touch:
             old = F.when(hit, F.localtimestamp().cast(kind)).otherwise(old)
-        if is_new is not None:
-            old = F.when(is_new, _written(column, update_cols).cast(kind)).otherwise(old)
         return old.alias(column)
 
-    if not small:
-        known = target.withColumn("_known", F.lit(True)).alias("t")
-        is_new = F.col("t._known").isNull()
-        joined = known.join(u, on, "full_outer")
-        return joined.select(*[merged(c, is_new) for c in target.columns])
-
-    kept = t.join(F.broadcast(u), on, "left").select(*[merged(c, None) for c in target.columns])
-    # At most one target row per batch row, so this too is small.
-    found = target.select(*keys).join(F.broadcast(batch.select(*keys)), keys, "left_semi")
-    new = batch.join(F.broadcast(found), keys, "left_anti").alias("u")
+    kept = t.join(u, on, "left").select(*[merged(c) for c in target.columns])
+    found = target.select(*keys).join(batch.select(*keys), keys, "left_semi")
+    new = batch.join(found, keys, "left_anti").alias("u")
     inserted = new.select(
         *[
             (F.col(f"u.{c}") if c in keys else _written(c, update_cols))
@@ -92,6 +77,10 @@ class DuplicateKeys(ValueError):
     """An update batch names a key more than once."""
 
 
+class ConcurrentWrite(RuntimeError):
+    """Two changes started from the same version; the later one is to be repeated."""
+
+
 class VersionedTable:
     """A Parquet table whose every change is a new version beside the old one.
 
@@ -104,26 +93,34 @@ class VersionedTable:
         self.path = path.rstrip("/")
         self.schema = schema
 
-    def version(self) -> int | None:
+    def _log(self) -> DataFrame | None:
         try:
-            log = self.spark.read.schema("version LONG").json(f"{self.path}/log")
+            return self.spark.read.schema("version LONG, folder STRING").json(f"{self.path}/log")
         except AnalysisException as error:
             if path_missing(error):
                 return None
             raise
-        return log.agg(F.max("version")).head()[0]
+
+    def version(self) -> int | None:
+        log = self._log()
+        return None if log is None else log.agg(F.max("version")).head()[0]
 
     def read(self) -> DataFrame:
-        version = self.version()
-        if version is None:
+        log = self._log()
+        last = None if log is None else log.agg(F.max_by("folder", "version").alias("folder")).head()
+        if last is None or last.folder is None:
             raise MissingInput(self.path)
         reader = self.spark.read if self.schema is None else self.spark.read.schema(self.schema)
-        return reader.parquet(f"{self.path}/data/v{version}")
+        return reader.parquet(f"{self.path}/data/{last.folder}")
 
     def write(self, df: DataFrame) -> int:
-        version = (self.version() or 0) + 1
-        df.write.mode("overwrite").parquet(f"{self.path}/data/v{version}")
-        entry = self.spark.createDataFrame([(version,)], "version LONG")
+        """A new version in a folder of its own; fails if another writer was first."""
+        before = self.version() or 0
+        version, folder = before + 1, f"v{before + 1}-{uuid.uuid4().hex}"
+        df.write.parquet(f"{self.path}/data/{folder}")
+        if (self.version() or 0) != before:
+            raise ConcurrentWrite(f"{self.path}: version {version} was written meanwhile")
+        entry = self.spark.createDataFrame([(version, folder)], "version LONG, folder STRING")
         entry.write.mode("append").json(f"{self.path}/log")
         return version
 
@@ -150,7 +147,4 @@ class VersionedTable:
         twice = check_unique(batch, keys).limit(5).collect()
         if twice:
             raise DuplicateKeys(f"{self.path}: {twice}")
-        merged = upsert(
-            self.read(), batch, keys, update_cols, touch, small=rows <= SMALL_BATCH
-        )
-        return self.write(merged)
+        return self.write(upsert(self.read(), batch, keys, update_cols, touch))

@@ -9,9 +9,8 @@ from pyspark.sql import functions as F
 from stromlage import fixed_values as fv
 from stromlage import schemas
 from stromlage.operators import rolling
-from stromlage.operators.rolling import long_entities, roll, roll_sliced
+from stromlage.operators.rolling import roll, roll_sliced
 from stromlage.plans import features
-from stromlage.session import SUBSET_KEYS, settings
 from tests.conftest import rows
 
 HOUR = dt.datetime(2025, 10, 1)
@@ -111,41 +110,21 @@ def test_sliced_windows_equal_plain_ones(spark, slices, n):
     assert rows(cut.select(*plain.columns)) == rows(plain)
 
 
-def test_only_long_entities_are_sliced(spark):
-    df = series(spark)
-    assert long_entities(df, "corridor_id", 1000) == [1]
-    assert long_entities(df, "corridor_id", 100_000) == []
-
-
-@pytest.mark.parametrize("limit", [1, 1500, 10**9])
-def test_feature_table_does_not_depend_on_slicing(spark, limit, tmp_path):
+@pytest.mark.parametrize("slices", [1, 5, 40])
+def test_feature_table_does_not_depend_on_slicing(spark, slices, tmp_path):
     t = series(spark).drop("temperature").withColumn("failure_event", F.lit(0.0))
     w = series(spark).select("corridor_id", "timestamp", "temperature", F.lit(50.0).alias("humidity"))
     _, _, c, p = tables(spark, [(k, f"L{k} 132kV", "Benin") for k in (1, 2, 3)])
     expected = rows(features.engineer_features(t, w, c, p))
-    built = features.build_feature_table(t, w, c, p, str(tmp_path / f"f{limit}"), limit)
+    built = features.build_feature_table(t, w, c, p, str(tmp_path / f"f{slices}"), slices)
     assert rows(built) == expected
 
 
-def test_too_many_long_entities_to_name_are_all_sliced(spark, monkeypatch):
-    monkeypatch.setattr(rolling, "MAX_NAMED", 1)
-    assert long_entities(series(spark), "corridor_id", 1) is None
-    t = series(spark).drop("temperature").withColumn("failure_event", F.lit(0.0))
-    w = series(spark).select("corridor_id", "timestamp", "temperature", F.lit(50.0).alias("humidity"))
-    _, _, c, p = tables(spark, [(k, f"L{k} 132kV", "Benin") for k in (1, 2, 3)])
-    assert rows(features.engineer_features(t, w, c, p, 1)) == rows(
-        features.engineer_features(t, w, c, p))
-
-
-def test_partitioned_build_shuffles_telemetry_once(spark):
+def test_long_inputs_are_read_and_joined_once(spark):
     t, w, c, p = tables(spark)
-    with settings(spark, {SUBSET_KEYS: "false", "spark.sql.autoBroadcastJoinThreshold": "-1"}):
-        df = features.engineer_features(t, w, c, p)
-        plan = df._jdf.queryExecution().executedPlan().toString()
-    by_corridor = [line for line in plan.splitlines()
-                   if "Exchange hashpartitioning(corridor_id" in line]
-    assert len(by_corridor) == 3  # telemetry, weather, the corridor dimension
-    assert "hashpartitioning(corridor_id#" in plan and "timestamp" not in "".join(by_corridor)
+    df = features.joined_telemetry(t, w, c, p)
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    assert "short_name" not in plan  # the dimension is a table: performance is not read again
 
 
 def test_split(spark, at):

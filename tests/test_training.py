@@ -62,10 +62,15 @@ def test_report(spark, data):
 
 def test_expansion_keeps_the_loss(spark):
     df = spark.createDataFrame([(0.0,), (1.0,), (0.28,), (0.82,), (None,)], "failure_event DOUBLE")
-    found = training.expand_soft_labels(df, positive_weight=10.0)
+    found = training.expand_soft_labels(df, positive_weight=10.0, weight_at=0.5)
     got = {(r.failure_event, r.label): round(r.weight, 6) for r in found.collect()}
     assert got == {(0.0, 0.0): 1.0, (1.0, 1.0): 10.0, (0.28, 1.0): 0.28, (0.28, 0.0): 0.72,
                    (0.82, 1.0): 8.2, (0.82, 0.0): 1.8}
+    # By default only certain failures carry the class weight.
+    found = training.expand_soft_labels(df, positive_weight=10.0)
+    got = {(r.failure_event, r.label): round(r.weight, 6) for r in found.collect()}
+    assert got == {(0.0, 0.0): 1.0, (1.0, 1.0): 10.0, (0.28, 1.0): 0.28, (0.28, 0.0): 0.72,
+                   (0.82, 1.0): 0.82, (0.82, 0.0): 0.18}
 
 
 @pytest.fixture(scope="module")

@@ -72,7 +72,7 @@ def main() -> None:
     timed("three shuffles", lambda: overwrite_table(engineer_features(t, w, c, p), f"{folder}/f3"))
     timed("two shuffles", lambda: build_feature_table(t, w, c, p, f"{folder}/f2"))
     timed("long corridors sliced",
-          lambda: build_feature_table(t, w, c, p, f"{folder}/fs", rows_per_task=200_000))
+          lambda: build_feature_table(t, w, c, p, f"{folder}/fs", slices=64))
     sums = [
         spark.read.parquet(f"{folder}/{n}").agg(
             F.count("*"), F.round(F.sum("freq_volatility_6h"), 1), F.round(F.sum("volt_lag_2h"), 1)
