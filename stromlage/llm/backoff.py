@@ -28,7 +28,7 @@ BACKOFF = 0.4
 #: Stands before the first word.
 START = 0
 
-_COLUMNS = ["doc_id", "v", "w", "n", "own_v", "own_w", "n_words"]
+_COLUMNS = ["doc_id", "v", "w", "n", "own_v", "own_w"]
 
 
 def _counted(words: list[str]) -> tuple[np.ndarray, ...]:
@@ -44,7 +44,7 @@ def _counted(words: list[str]) -> tuple[np.ndarray, ...]:
 
 
 def bigrams(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """(doc_id, v, w, n, own_v, own_w, n_words): the distinct bigrams of every row with words."""
+    """(doc_id, v, w, n, own_v, own_w): the distinct bigrams of every row with words."""
 
     def explode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -54,9 +54,7 @@ def bigrams(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> Data
                     parts = _counted(words)
                     k = len(parts[0])
                     yield pa.RecordBatch.from_arrays(
-                        [pa.array([key] * k, pa.int64()), *[pa.array(p, pa.int64()) for p in parts],
-                         pa.array(np.full(k, len(words), np.int64))],
-                        _COLUMNS,
+                        [pa.array([key] * k, pa.int64()), *[pa.array(p, pa.int64()) for p in parts]], _COLUMNS
                     )
 
     source = docs.select(F.col(f"`{doc_id}`").cast("long").alias("doc_id"), F.col(f"`{text}`").alias("text"))
@@ -69,7 +67,7 @@ def backoff_scores(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
     ``log_score`` is the sum of the natural logarithms of its words' scores,
     ``n_unseen`` the number of words scored by backing off. Null, empty and
     white texts have no words and the score 0. Ids should be unique; rows that
-    share one (or have none) are scored row by row and added up.
+    share one (or have none) are counted row by row and added up.
     """
     exploded = bigrams(docs, doc_id, text)
     pairs = exploded.groupBy("v", "w").agg(F.sum("n").alias("c"))
@@ -83,24 +81,25 @@ def backoff_scores(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
         table.select("v", "w", F.col("c").alias("n")).select(F.explode(sides).alias("s")).select("s.*")
         .groupBy("x").agg(F.sum("first").alias("first"), F.sum("word").alias("word")), "words",
     )
-    total = words.agg(F.sum("word").alias("total"))
+    total = words.agg(F.coalesce(F.sum("word"), F.lit(0)).alias("total")).head()["total"]
     seen = F.col("c") > F.col("n")
     needed = exploded.join(table, ["v", "w"]).select(
-        "doc_id", "n", "n_words", seen.alias("seen"),
+        "doc_id", "n", seen.alias("seen"),
         F.when(seen, F.col("v")).otherwise(F.col("w")).alias("x"),
         F.when(seen, F.col("own_v")).otherwise(F.col("own_w")).alias("own"),
         F.when(seen, F.log((F.col("c") - F.col("n")).cast("double"))).alias("log_c"),
     )
-    joined = needed.join(words, "x").join(F.broadcast(total))
     rest = F.greatest(F.col("word") - F.col("own"), F.lit(1)).cast("double")
-    others = F.greatest(F.col("total") - F.col("n_words"), F.lit(1)).cast("double")
     log = F.when(F.col("seen"), F.col("log_c") - F.log((F.col("first") - F.col("own")).cast("double"))).otherwise(
-        F.lit(math.log(BACKOFF)) + F.log(rest) - F.log(others)
+        F.lit(math.log(BACKOFF)) + F.log(rest)
     )
-    scores = joined.groupBy("doc_id").agg(
+    sums = needed.join(words, "x").groupBy("doc_id").agg(
         F.sum("n").alias("n_words"), F.sum(F.when(F.col("seen"), 0).otherwise(F.col("n"))).alias("n_unseen"),
-        F.sum(F.col("n") * log).alias("log_score"),
+        F.sum(F.col("n") * log).alias("sum"),
     )
+    # What backing off divides by, the words of all other documents, is one number for each document.
+    others = F.log(F.greatest(F.lit(total) - F.col("n_words"), F.lit(1)).cast("double"))
+    scores = sums.withColumn("log_score", F.col("sum") - F.col("n_unseen") * others)
     ids = docs.select(F.col(f"`{doc_id}`").cast("long").alias("doc_id")).distinct()
     return ids.alias("i").join(scores.alias("s"), F.col("i.doc_id").eqNullSafe(F.col("s.doc_id")), "left").select(
         "i.doc_id", *[F.coalesce(c, F.lit(0)).cast("long").alias(c) for c in ("n_words", "n_unseen")],
