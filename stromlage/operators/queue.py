@@ -6,7 +6,7 @@ from pyspark.sql.window import Window
 
 from stromlage import fixed_values as fv
 from stromlage.functions.bands import HIGH_RISK, risk_band
-from stromlage.functions.text import crew_name, marker_size, without_last_word
+from stromlage.functions.text import crew_name, marker_size, strip_class, without_last_word
 from stromlage.operators.ordering import number_rows
 
 
@@ -29,7 +29,10 @@ def filter_risk(df: DataFrame, threshold: float, disco: str | None = None) -> Da
 def kpis(
     queue: DataFrame, threshold: float = 0.0, disco: str | None = None, crews: int = 3
 ) -> DataFrame:
-    """The status cards in one pass: rows at high risk, their loss, crews, top risk."""
+    """The status cards in one pass: rows at high risk, their loss, crews, top risk.
+
+    The name of the top row is shown without its voltage class.
+    """
     chosen = F.col("risk") >= F.lit(threshold)
     if disco is not None:
         chosen = chosen & (F.col("disco") == F.lit(disco))
@@ -49,7 +52,7 @@ def kpis(
         (needed - F.lit(crews)).alias("delta_crew"),
         "total_monitored",
         F.coalesce("_top.risk", F.lit(0.0)).alias("highest_risk"),
-        F.coalesce("_top.name", F.lit("N/A")).alias("highest_name"),
+        F.coalesce(strip_class(F.col("_top.name")), F.lit("N/A")).alias("highest_name"),
     )
 
 
