@@ -3,7 +3,7 @@
 The segmentation of a text is the one whose pieces have the greatest sum of
 scores; among equals, the one with the longest last piece. It never crosses a
 word mark if no piece does, so it is that of its marked words, each by itself.
-The distinct marked words of a batch are sorted, which puts them in the order
+The distinct marked words of a block of texts are sorted, which puts them in the order
 of a depth-first walk of their trie; the forward scores and back pointers of a
 word's first characters are those of the word before, as far as both agree.
 
@@ -17,6 +17,7 @@ from os.path import commonprefix
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -26,6 +27,12 @@ MARK = "▁"
 #: An unknown character scores so much less than the worst piece.
 UNKNOWN_PENALTY = 10.0
 
+#: Text whose words make one trie.
+BLOCK_BYTES = 4_000_000
+#: Words whose ids a worker keeps from trie to trie, none longer than this.
+REMEMBERED = 300_000
+LONGEST_REMEMBERED = 64
+
 _marked_words = re.compile(f"{MARK}+[^{MARK}]*|[^{MARK}]+").findall
 
 
@@ -102,20 +109,37 @@ class Vocabulary:
         return b"".join(map(self.bytes_of_id.__getitem__, ids)).decode("utf-8", "replace").removeprefix(" ")
 
 
+def _blocks(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+    """``batch`` in slices of about BLOCK_BYTES of text, one row at least."""
+    sizes = pc.binary_length(batch.column("text")).to_numpy(zero_copy_only=False).astype(np.int64)
+    number = np.cumsum(sizes) // BLOCK_BYTES
+    starts = np.flatnonzero(np.concatenate([[True], number[1:] != number[:-1]])) if len(sizes) else []
+    for a, b in zip(starts, [*starts[1:], len(sizes)], strict=True):
+        yield batch.slice(a, b - a)
+
+
 def encode(docs: DataFrame, path: str, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """(doc_id, ids) of every row. Null and empty texts have no ids; repeated rows equal ones."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         vocabulary = worker_cache(("pieces", path), lambda: Vocabulary(path))
+        known = worker_cache(("words", path), dict)
         for batch in batches:
-            cut = [vocabulary.words(t) for t in batch.column("text").to_pylist()]
-            known = vocabulary.encode_words(w for words in cut for w in words)
-            data = [b"".join(map(known.__getitem__, words)) for words in cut]
-            ends = np.cumsum([0, *[len(d) // 4 for d in data]]).astype(np.int32)
-            values = pa.array(np.frombuffer(b"".join(data), "<u4").astype(np.int32))
-            yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), pa.ListArray.from_arrays(pa.array(ends), values)], ["doc_id", "ids"]
-            )
+            for block in _blocks(batch):
+                cut = [vocabulary.words(t) for t in block.column("text").to_pylist()]
+                if len(known) > REMEMBERED:
+                    known.clear()
+                new = vocabulary.encode_words({w for words in cut for w in words if w not in known})
+                known.update(new)
+                data = [b"".join(map(known.__getitem__, words)) for words in cut]
+                for word in new:
+                    if len(word) > LONGEST_REMEMBERED:
+                        del known[word]
+                ends = np.cumsum([0, *[len(d) // 4 for d in data]]).astype(np.int32)
+                values = pa.array(np.frombuffer(b"".join(data), "<u4").astype(np.int32))
+                yield pa.RecordBatch.from_arrays(
+                    [block.column("doc_id"), pa.ListArray.from_arrays(pa.array(ends), values)], ["doc_id", "ids"]
+                )
 
     source = docs.select(
         F.col(f"`{doc_id}`").cast("long").alias("doc_id"), F.coalesce(F.col(f"`{text}`"), F.lit("")).alias("text")
