@@ -42,3 +42,16 @@ def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
             break
     roots = pairs.select("v").distinct().select(F.col("v").alias("node"), F.col("v").alias("component"))
     return pairs.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(roots)
+
+
+def joined_components(found: DataFrame, links: DataFrame) -> DataFrame:
+    """``found`` (node, component) after ``links`` (a, b) between components. Staged.
+
+    A node that ``found`` lacks is a component of its own name. Only the links
+    between components are gone through again.
+    """
+    merged = components(links)
+    moved = found.join(merged.select(F.col("node").alias("component"), F.col("component").alias("_to")), "component", "left")
+    known = moved.select("node", F.coalesce("_to", "component").alias("component"))
+    new = merged.join(found.select("node"), "node", "left_anti")
+    return stage(known.unionByName(new), "components")
