@@ -38,8 +38,9 @@ SPAN = 200
 ANCHOR = 64
 #: Spans that share an anchor's place, and so the spans of a unit, at most.
 WIDTH = SPAN - ANCHOR + 1
-#: Units of a collection.
-COLLECTION = 4096
+#: Units of a collection, or the units of one anchor, if they are more; and the most that one anchor may have.
+COLLECTION = 1024
+LARGEST = 4096
 
 _MULTIPLIERS = [np.uint64(0x9E3779B97F4A7C15 * (2 * t + 1) & (1 << 64) - 1) for t in range(ANCHOR // 8)]
 
@@ -96,9 +97,9 @@ _WHOLE = 255
 def repeats(strings: list[bytes]) -> list[np.ndarray]:
     """For each string of UTF-8, the places where a span starts that starts elsewhere in ``strings`` as well.
 
-    The transform by columns: ``symbol`` stands before each sorted suffix;
-    ``common`` is the prefix it shares with the suffix above, up to SPAN;
-    ``place`` is its string and length.
+    The transform by columns. Of each sorted suffix a row holds the symbol
+    before it, the prefix it shares with the suffix above, up to SPAN, and its
+    place, string and length, in one number: a sweep moves them together.
     """
     m = len(strings)
     sizes = np.array([len(s) for s in strings])
@@ -106,51 +107,57 @@ def repeats(strings: list[bytes]) -> list[np.ndarray]:
     ends = np.cumsum(sizes)
     longest = int(sizes.max(initial=0))
     bits = longest.bit_length()
-    symbol = text[ends - 1]
-    common = np.zeros(m, np.uint8)
-    place = np.arange(m, dtype=np.int32) << bits
+    rows = text[ends - 1].astype(np.int64) | np.arange(m, dtype=np.int64) << (32 + bits)
     at = np.arange(m)
     for length in range(1, longest + 1):
         active = np.flatnonzero(sizes >= length)
-        n, q = len(symbol), len(active)
+        n, q = len(rows), len(active)
+        symbol, common = _bytes(rows, 0).copy(), np.append(_bytes(rows, 1), np.uint8(0))
         order = np.argsort(symbol, kind="stable")
         to = np.empty(n, np.int32)
         to[order] = np.arange(n, dtype=np.int32)
         # Among suffixes with the same symbol before them, a new suffix keeps the order of the one before it.
         k = to[at[active]].astype(np.int64)
         # Common prefixes of the new suffixes with those above, and of those below with the new ones.
-        rows = np.unique(np.concatenate([k, k[k + 1 < n] + 1]))
-        above, here = order[rows - 1], order[rows]
-        same = (rows > 0) & (symbol[above] == symbol[here])
-        least = np.zeros(len(rows), np.int64)
+        touched = np.zeros(n + 1, bool)
+        touched[k] = touched[k + 1] = True
+        touched = np.flatnonzero(touched[:n])
+        above, here = order[touched - 1], order[touched]
+        same = (touched > 0) & (symbol[above] == symbol[here])
+        least = np.zeros(len(touched), np.uint8)
         if same.any():
             first, last = above[same] + 1, here[same]
             down = np.argsort(-first, kind="stable")  # so that reduceat takes the stretches alone
             cuts = np.empty(2 * len(first), np.int64)
             cuts[0::2], cuts[1::2] = first[down], last[down] + 1
             lows = np.empty(len(first), np.int64)
-            lows[down] = np.minimum.reduceat(np.append(common, np.uint8(0)), cuts)[0::2]
+            lows[down] = np.minimum.reduceat(common, cuts)[0::2]
             least[same] = np.minimum(lows + 1, SPAN)
         new = m + k
         old = np.ones(n + q, bool)
         old[new] = False
-        before = symbol, common, place
-        symbol, common, place = np.empty(n + q, np.uint8), np.empty(n + q, np.uint8), np.empty(n + q, np.int32)
-        symbol[old], common[old], place[old] = before
-        symbol[new] = np.where(sizes[active] > length, text[ends[active] - length - 1], _WHOLE)
-        place[new] = (active << bits) + length
-        inside = m + rows < n + q
-        common[m + rows[inside]] = least[inside]
+        merged = np.empty(n + q, np.int64)
+        merged[old] = rows
+        before = np.where(sizes[active] > length, text[ends[active] - length - 1], _WHOLE).astype(np.int64)
+        merged[new] = before | ((active.astype(np.int64) << bits) + length) << 32
+        inside = m + touched < n + q
+        _bytes(merged, 1)[m + touched[inside]] = least[inside]
+        rows = merged
         at[active] = new
-    long = common >= SPAN
+    long = _bytes(rows, 1) >= SPAN
     long[:-1] |= long[1:]
-    found = place[long].astype(np.int64)
+    found = rows[long] >> 32
     owner = found >> bits
     start = sizes[owner] - (found & (1 << bits) - 1)
     by = np.argsort(owner, kind="stable")
     return [np.sort(x) for x in np.split(start[by], np.searchsorted(owner[by], np.arange(1, m)))]
 
 
+def _bytes(rows: np.ndarray, k: int) -> np.ndarray:
+    """Byte ``k`` of every row, as a view: 0 is the symbol, 1 the common prefix."""
+    return rows.view(np.uint8)[k::8]
+
+
 def _ranges(places: np.ndarray) -> list[dict]:
     """Half-open ranges of the given rising numbers."""
     if not len(places):
@@ -288,8 +295,8 @@ def _repeated(source: DataFrame) -> DataFrame:
     several = kinds.groupBy("anchor").agg(F.count("*").alias("kinds")).where("kinds > 1")
     mixed = kinds.join(several, "anchor")
     strings = stage(_with_strings(source, mixed).join(several, "anchor"), "strings")
-    found = _collected(strings.where(F.col("kinds") <= COLLECTION)).unionByName(
-        _counted(strings.where(F.col("kinds") > COLLECTION))
+    found = _collected(strings.where(F.col("kinds") <= LARGEST)).unionByName(
+        _counted(strings.where(F.col("kinds") > LARGEST))
     )
     whole = F.array(F.struct(F.lit(0).alias("a"), F.col("spans").alias("b")))
     inside = found.where(F.size("ranges") > 0).join(kinds.where("n = 1").select("anchor", "digest"), ["anchor", "digest"])

@@ -47,9 +47,10 @@ def planted(seed):
     return rows
 
 
-@pytest.mark.parametrize("collection", [4096, 5])
+@pytest.mark.parametrize("collection", [1024, 5])
 def test_planted_passages(spark, monkeypatch, collection):
     monkeypatch.setattr(sd, "COLLECTION", collection)
+    monkeypatch.setattr(sd, "LARGEST", 4 * collection)
     check(spark, planted(3))
 
 
