@@ -5,6 +5,11 @@ format: a Feistel network permutes the values of the format under a key. Equal
 values therefore get equal pseudonyms in all documents, whatever separators
 they are written with, and different values different ones.
 
+Dates are read with slashes month first, otherwise day first, and in the other
+order if only that gives a date. Those with one-digit fields, two-digit years or
+the other order are formats of their own: equal days get equal pseudonyms only
+within one such format. Version-like numbers that read as a date count as one.
+
 A value is a list of numbers, each below a radix of its own: digits, letters,
 octets, or the two digits of a day number. In every round one half of the list
 is shifted, number by number and modulo the radices, by a keyed hash (SHA-512)
@@ -26,7 +31,7 @@ DAY_RADICES = (17, 4297)
 # Java syntax. Separators are the same within one number.
 PATTERNS = {
     "email": r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]{1,64}+@[A-Za-z0-9-]{1,63}(?:\.[A-Za-z0-9-]{1,63})*\.[A-Za-z]{2,24}(?![A-Za-z0-9])",
-    "date": r"(?<![0-9./-])(?:[0-9]{4}(?<d>[-/.])[0-9]{2}\k<d>[0-9]{2}|[0-9]{2}(?<e>[-/.])[0-9]{2}\k<e>[0-9]{4})(?![0-9]|[./-][0-9])",
+    "date": r"(?<![0-9./-])(?:[0-9]{4}(?<d>[-/.])[0-9]{1,2}\k<d>[0-9]{1,2}|[0-9]{1,2}(?<e>[-/.])[0-9]{1,2}\k<e>(?:[0-9]{4}|[0-9]{2}))(?![0-9]|[./-][0-9])",
     "ip": r"(?<![0-9.])[0-9]{1,3}(?:\.[0-9]{1,3}){3}(?![0-9]|\.[0-9])",
     "ssn": r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9]|-[0-9])",
     "card": r"(?<![0-9])(?:[0-9]{13,19}|[0-9]{4}(?<f>[ -])[0-9]{4}\k<f>[0-9]{4}\k<f>[0-9]{4}|[0-9]{4}(?<g>[ -])[0-9]{6}\k<g>[0-9]{5})(?![0-9])",
@@ -130,8 +135,12 @@ def _ip(m: str, key: str) -> str:
     )
 
 
-def _date(m: str, key: str) -> str:
-    """Year first, or else day first; with slashes month first. Four-digit years from 1900 to 2099."""
+def _is_date(year: str, month: str, day: str) -> str:
+    return f"try_to_timestamp(concat_ws('-', {year}, lpad({month}, 2, '0'), lpad({day}, 2, '0')), 'yyyy-MM-dd') IS NOT NULL"
+
+
+def _whole_date(m: str, key: str) -> str:
+    """Two-digit days and months, years of four digits, in the usual order: all days of 1900 to 2099 are one format."""
     first = "substr(d.t, 5, 1) RLIKE '[-/.]'"
     sep = f"if({first}, substr(d.t, 5, 1), substr(d.t, 3, 1))"
     form = f"if({first}, concat('yyyy', {sep}, 'MM', {sep}, 'dd'), if({sep} = '/', 'MM/dd/yyyy', concat('dd', {sep}, 'MM', {sep}, 'yyyy')))"
@@ -145,6 +154,56 @@ def _date(m: str, key: str) -> str:
     )
 
 
+def _other_date(t: str, key: str) -> str:
+    """Dates with one-digit fields, two-digit years (of 2000 to 2099) or the less usual order of day and month.
+
+    The numbers of year, month and day move among those of months equally long.
+    Widths stay; a day that settled the order stays above 12, so the pseudonym is read the same way.
+    """
+    # k: the three fields; y: year; u, w: month and day in the usual order.
+    usual = "(length(k.k[0]) = 4 OR instr(k.t, '/') > 0)"
+    a, b = "if(length(k.k[0]) = 4, k.k[1], k.k[0])", "if(length(k.k[0]) = 4, k.k[2], k.k[1])"
+    year = "if(length(k.k[0]) = 4, k.k[0], if(length(k.k[2]) = 2, concat('20', k.k[2]), k.k[2]))"
+    read = f"struct(k.t AS t, k.k AS k, {year} AS y, {usual} AS mf, {a} AS a, {b} AS b)"
+    ordered = (
+        f"struct(e.t AS t, e.k AS k, e.y AS y, if(e.mf, {_is_date('e.y', 'e.a', 'e.b')}, {_is_date('e.y', 'e.b', 'e.a')}) AS same, e.mf AS mf, e.a AS a, e.b AS b)"
+    )
+    # mf: whether the month stands before the day.
+    settled = "struct(h.t AS t, h.k AS k, h.y AS y, h.same AS same, (h.mf = h.same) AS mf, if(h.mf = h.same, h.a, h.b) AS mo, if(h.mf = h.same, h.b, h.a) AS da)"
+    leap = "(x % 4 = 0 AND (x % 100 <> 0 OR x % 400 = 0))"
+    leap_now = leap.replace("x", "int(z.y)")
+    length = "CASE WHEN x = 2 THEN 28 WHEN x IN (4, 6, 9, 11) THEN 30 ELSE 31 END"
+    now = length.replace("x", "int(z.mo)")
+    span = "if(length(z.k[0]) = 4 OR length(z.k[2]) = 4, sequence(1900, 2099), sequence(2000, 2099))"
+    years = f"filter({span}, x -> int(z.mo) <> 2 OR {leap} = {leap_now})"
+    months = f"filter(sequence(1, if(length(z.mo) = 1, 9, 12)), x -> {length} = {now})"
+    last = f"if(length(z.da) = 1, 9, {now} + if(int(z.mo) = 2 AND {leap_now}, 1, 0))"
+    days = f"sequence(if(z.same, 1, 13), {last})"
+    lists = f"struct({years} AS ys, {months} AS ms, {days} AS ds)"
+    places = "array(int(array_position(l.ys, int(z.y))) - 1, int(array_position(l.ms, int(z.mo))) - 1, int(array_position(l.ds, int(z.da))) - 1)"
+    moved = feistel(places, "array(size(l.ys), size(l.ms), size(l.ds))", "date fields", key)
+    sep = "substr(z.t, length(z.k[0]) + 1, 1)"
+    month, day = "lpad(string(l.ms[n[1]]), length(z.mo), '0')", "lpad(string(l.ds[n[2]]), length(z.da), '0')"
+    pair = f"if(z.mf, concat({month}, {sep}, {day}), concat({day}, {sep}, {month}))"
+    whole = f"if(length(z.k[0]) = 4, concat(string(l.ys[n[0]]), {sep}, {pair}), concat({pair}, {sep}, substr(string(l.ys[n[0]]), 5 - length(z.k[2]))))"
+    shown = _let(lists, "l", _let(moved, "n", whole))
+    valid = f"int(z.y) BETWEEN 1900 AND 2099 AND {_is_date('z.y', 'z.mo', 'z.da')}"
+    return _let(
+        f"struct({t} AS t, split({t}, '[-/.]') AS k)", "k",
+        _let(read, "e", _let(ordered, "h", _let(settled, "z", f"if({valid}, {shown}, z.t)"))),
+    )
+
+
+def _date(m: str, key: str) -> str:
+    """Year first, or else day first; with slashes month first; the other order if only that is a date. Years 1900 to 2099."""
+    of = lambda y, mo, da: _is_date(*(f"substr({m}, {at}, {n})" for at, n in ((y, 4), (mo, 2), (da, 2))))
+    usual = (
+        f"length({m}) = 10 AND CASE WHEN {m} RLIKE '^[0-9]{{4}}' THEN {of(1, 6, 9)} "
+        f"WHEN instr({m}, '/') > 0 THEN {of(7, 1, 4)} ELSE {of(7, 4, 1)} END"
+    )
+    return f"CASE WHEN {usual} THEN {_whole_date(m, key)} ELSE {_other_date(m, key)} END"
+
+
 def _email(m: str, key: str) -> str:
     """Letters and digits before the @, each within its kind."""
     kind = "CASE WHEN c RLIKE '^[0-9]$' THEN 48 WHEN c RLIKE '^[a-z]$' THEN 97 WHEN c RLIKE '^[A-Z]$' THEN 65 ELSE 0 END"
@@ -167,7 +226,7 @@ def _pseudonym(m: str, key: str) -> str:
         f"CASE WHEN instr({m}, '@') > 0 THEN {_email(m, key)} "
         f"WHEN {m} RLIKE '^[0-9]{{1,3}}([.][0-9]{{1,3}}){{3}}$' THEN {_ip(m, key)} "
         f"WHEN {m} RLIKE '^[0-9]{{3}}-[0-9]{{2}}-[0-9]{{4}}$' THEN {_ssn(m, key)} "
-        f"WHEN {digits} = 8 THEN {_date(m, key)} "
+        f"WHEN {digits} < 9 THEN {_date(m, key)} "
         f"WHEN {digits} = 10 THEN {_phone(m, key)} "
         f"ELSE {_card(m, key)} END"
     )
