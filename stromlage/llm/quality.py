@@ -35,12 +35,12 @@ WINDOW_WORDS = 5
 SYMBOLS = "#*$%&|<>"
 
 #: Share of a group's documents in the subset, and passes of concentration.
-SUBSET = 0.75
+SUBSET = 0.5
 STEPS = 6
 #: Groups smaller than this are pooled; a last pool smaller than this rejects nothing.
 MIN_GROUP = 60
 #: A clean document is rejected once in so many, were the statistics normal.
-REJECTED_OF_CLEAN = 1e-6
+REJECTED_OF_CLEAN = 1e-3
 #: Least standard deviation of each transformed statistic: most clean documents
 #: have no symbols and no repeats at all, and no scatter to judge others by.
 LEAST_SPREAD = {"x0": 0.1, "x1": 0.6, "x2": 0.7, "x3": 0.15}
@@ -152,7 +152,7 @@ def _sums() -> list[Column]:
 
 def _estimates(sums: DataFrame, factor: float) -> DataFrame:
     """Centre, inverse scatter and log determinant of each row of sums."""
-    floors = np.diag([LEAST_SPREAD[x] ** 2 for x in X])
+    floors = np.array([LEAST_SPREAD[x] ** 2 for x in X])
 
     def solve(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
@@ -163,7 +163,8 @@ def _estimates(sums: DataFrame, factor: float) -> DataFrame:
                 scatter = np.zeros((P, P))
                 for i, j in PAIRS:
                     scatter[i, j] = scatter[j, i] = row[f"s_{i}_{j}"] / m - centre[i] * centre[j]
-                scatter = factor * scatter + floors
+                scatter = factor * scatter
+                scatter += np.diag(np.maximum(floors - np.diag(scatter), 0))
                 out.append([*centre, *[np.linalg.inv(scatter)[i, j] for i, j in PAIRS], np.linalg.slogdet(scatter)[1]])
             made = pd.DataFrame(out, columns=[*[f"c_{x}" for x in X], *[f"i_{i}_{j}" for i, j in PAIRS], "logdet"])
             yield pd.concat([frame[["start", "n"]].reset_index(drop=True), made], axis=1).assign(
