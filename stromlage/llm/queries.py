@@ -10,12 +10,15 @@ from pyspark.sql import functions as F
 from stromlage.llm.backoff import backoff_scores
 from stromlage.llm.common import documents
 from stromlage.llm.fingerprints import compare_with_next
+from stromlage.llm.hnsw import nearest_neighbours
 from stromlage.llm.jaccard_join import linked_documents
+from stromlage.llm.lexical import best_documents
 from stromlage.llm.line_dedup import line_decisions
 from stromlage.llm.packing import pack
 from stromlage.llm.pieces import decode, encode
 from stromlage.llm.pseudonyms import pseudonymise
 from stromlage.llm.quality import judge
+from stromlage.llm.repair import damage, repair
 from stromlage.llm.suffix_dedup import remove_repeats
 from stromlage.llm.token_counts import token_counts
 
@@ -166,3 +169,46 @@ def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op1_suffix_dedup")
 def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
     return remove_repeats(documents(spark, sf_dir)).drop("kept", "removed")
+
+
+@query("op11_nearest_neighbours")
+def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return nearest_neighbours(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
+
+
+OP12_SQL = r"""
+WITH cut AS (
+    SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(
+        translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+        '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') AS ts FROM documents
+), totals AS (
+    SELECT count(*) FILTER (len(ts) > 0) AS n_docs, CAST(sum(len(ts)) AS BIGINT) AS n_terms FROM cut
+), wanted AS (
+    SELECT DISTINCT item_id, unnest(regexp_extract_all(
+        translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+        '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS t FROM benchmark
+), tf AS (
+    SELECT r, t, count(*) AS tf FROM (SELECT r, unnest(ts) AS t FROM cut) WHERE t IN (SELECT t FROM wanted) GROUP BY ALL
+), weights AS (
+    SELECT t, CAST(floor(1000 * ln((2 * n_docs + 2)::DOUBLE / (2 * count(*) + 1)::DOUBLE)) AS BIGINT) AS w FROM tf, totals GROUP BY t, n_docs
+), lengths AS (
+    SELECT r, doc_id, 50 + (50 * len(ts) * n_docs) // n_terms AS m FROM cut, totals WHERE len(ts) > 0
+), scored AS (
+    SELECT item_id, doc_id, r, CAST(sum(w * ((1000000000 * tf) // (1000 * tf + 20 * m))) AS BIGINT) AS score
+    FROM wanted JOIN tf USING (t) JOIN weights USING (t) JOIN lengths USING (r) GROUP BY ALL
+), ranked AS (
+    SELECT item_id, doc_id, score, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id, r) AS rank
+    FROM scored WHERE score > 0
+)
+SELECT item_id, CAST(rank AS INTEGER) AS rank, doc_id, score FROM ranked WHERE rank <= 50
+"""
+
+
+@query("op12_lexical_search", OP12_SQL)
+def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return best_documents(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
+@query("op13_conversation_repair")
+def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repair(damage(spark.read.parquet(f"{sf_dir}/conversations.parquet")))
