@@ -20,8 +20,8 @@ def _snapshot(prefix: str, chosen: Column) -> list[Column]:
     rows = F.count_if(chosen)
     sagging = F.when(rows > 0, F.count_if(is_sagging(kv)))
     return [
-        F.round(F.avg(hz), 2).alias(f"{prefix}avg_freq"),
-        F.round(F.min(kv), 2).alias(f"{prefix}min_volt"),
+        F.round(F.avg(hz), 2).alias(f"{prefix}mean_hz"),
+        F.round(F.min(kv), 2).alias(f"{prefix}lowest_kv"),
         sagging.alias(f"{prefix}at_risk"),
     ]
 
@@ -66,11 +66,11 @@ def grid_context(df: DataFrame, back: str = "30 DAY", step: str = "1 HOUR") -> D
     )
     return one.select(
         "latest_ts",
-        F.col("now_avg_freq").alias("avg_frequency_hz"),
-        F.col("now_min_volt").alias("min_voltage_kv"),
+        F.col("now_mean_hz").alias("avg_frequency_hz"),
+        F.col("now_lowest_kv").alias("min_voltage_kv"),
         F.col("now_at_risk").alias("at_risk"),
         "plant_availability_pct",
-        F.round(F.col("now_avg_freq") - F.col("prev_avg_freq"), 3).alias("delta_freq"),
-        F.round(F.col("now_min_volt") - F.col("prev_min_volt"), 2).alias("delta_voltage"),
+        F.round(F.col("now_mean_hz") - F.col("prev_mean_hz"), 3).alias("delta_freq"),
+        F.round(F.col("now_lowest_kv") - F.col("prev_lowest_kv"), 2).alias("delta_voltage"),
         (F.col("now_at_risk") - F.col("prev_at_risk")).alias("delta_at_risk"),
     )
