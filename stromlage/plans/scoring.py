@@ -3,7 +3,6 @@
 import logging
 from dataclasses import dataclass
 
-from pyspark.ml import PipelineModel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -14,6 +13,7 @@ from stromlage.functions.risk import (
     with_infra_multiplier,
     with_risk_score,
 )
+from stromlage.operators.boosting import BoostedModel
 from stromlage.operators.joins import corridor_metadata, join_metadata
 from stromlage.operators.queue import dispatch_queue
 from stromlage.operators.snapshots import demo_snapshot, latest_per_entity
@@ -29,7 +29,7 @@ logger = logging.getLogger(__name__)
 RISK_COLUMNS = ["corridor_name", "timestamp", "failure_probability_pct", "at_risk"]
 
 
-def score(snapshot: DataFrame, model: PipelineModel, threshold: float) -> DataFrame:
+def score(snapshot: DataFrame, model: BoostedModel, threshold: float) -> DataFrame:
     """Probability and flag of every snapshot row."""
     risk = probability_to_risk(with_probability(snapshot, model), threshold)
     return risk.select("corridor_id", *RISK_COLUMNS)

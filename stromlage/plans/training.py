@@ -2,33 +2,20 @@
 
 from dataclasses import dataclass
 
-from pyspark.ml import PipelineModel
-from pyspark.ml.classification import GBTClassifier
-from pyspark.ml.feature import Imputer, VectorAssembler
-from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from stromlage import fixed_values as fv
 from stromlage.functions.risk import binarise
+from stromlage.operators.boosting import BoostedModel, Growth, fit, quantile_cuts
 from stromlage.operators.curve import best_threshold, classification_report, known_failures
 from stromlage.operators.events import class_balance
 from stromlage.plans.features import chronological_split
 from stromlage.session import stage
 
-# Inputs that may be missing: weather itself, and its mean over missing weather.
-NULLABLE = ["temperature", "humidity", "temp_roll_avg_3h"]
-
-
 @dataclass(frozen=True)
 class Params:
-    rounds: int = 300
-    depth: int = 4
-    rate: float = 0.05
-    row_share: float = 0.8
-    column_share: float = 0.8
-    min_rows: int = 1
-    seed: int = 42
+    growth: Growth = Growth()
     # Rows labelled at least this count as failures in the class ratio and in reports.
     positive_at: float = 0.5
     # Weight of rows labelled at least ``weight_at``, certain failures; None: normal / failures.
@@ -36,24 +23,13 @@ class Params:
     weight_at: float = 1.0
 
 
-def filler() -> Imputer:
-    """Median for missing weather: the trees take no missing values."""
-    return Imputer(strategy="median", inputCols=NULLABLE,
-                   outputCols=[f"{c}_filled" for c in NULLABLE])
-
-
-def assembler() -> VectorAssembler:
-    inputs = [f"{c}_filled" if c in NULLABLE else c for c in fv.FEATURES]
-    return VectorAssembler(inputCols=inputs, outputCol="features", handleInvalid="keep")
-
-
 def expand_soft_labels(
     df: DataFrame, positive_weight: float = 1.0, weight_at: float = 1.0, label: str = fv.TARGET
 ) -> DataFrame:
     """Each row as a positive of weight y and a negative of weight 1 - y.
 
-    The weighted log loss of the pair is the loss of the fractional label.
-    Halves of weight zero are dropped; unlabelled rows go.
+    The weighted log loss of the pair is the loss of the fractional label: the
+    form for learners that take whole labels only; ``train`` needs none of it. Halves of weight zero are dropped; unlabelled rows go.
     """
     y = F.col(label)
     factor = F.when(y >= weight_at, F.lit(float(positive_weight))).otherwise(F.lit(1.0))
@@ -64,43 +40,24 @@ def expand_soft_labels(
     return df.filter(y.isNotNull()).select("*", F.inline(halves)).filter("weight > 0")
 
 
-def train(features: DataFrame, params: Params = Params()) -> PipelineModel:
-    """Fit boosted trees on the fractional labels of ``features``."""
+def train(features: DataFrame, params: Params = Params(), cuts=quantile_cuts) -> BoostedModel:
+    """Fit boosted trees on the fractional labels of ``features``, missing values as they are."""
     weight = params.positive_weight
     if weight is None:
         ratio = class_balance(features, cut=params.positive_at).head().ratio
         weight = 1.0 if ratio is None else ratio
-    used = features.select(*fv.FEATURES, fv.TARGET)
-    filled, vectors = filler().fit(used), assembler()
-    rows = expand_soft_labels(used, weight, params.weight_at)
-    # Every round reads these rows again: a table, not a plan.
-    rows = stage(vectors.transform(filled.transform(rows)).select("features", "label", "weight"),
-                 "training")
-    trees = GBTClassifier(
-        labelCol="label",
-        weightCol="weight",
-        maxIter=params.rounds,
-        maxDepth=params.depth,
-        stepSize=params.rate,
-        subsamplingRate=params.row_share,
-        featureSubsetStrategy=str(params.column_share),
-        minInstancesPerNode=params.min_rows,
-        seed=params.seed,
-        cacheNodeIds=True,
-        checkpointInterval=10,
-    )
-    return PipelineModel(stages=[filled, vectors, trees.fit(rows)])
+    factor = F.when(F.col(fv.TARGET) >= params.weight_at, F.lit(float(weight))).otherwise(F.lit(1.0))
+    return fit(features, fv.FEATURES, fv.TARGET, factor, params.growth, cuts)
 
 
-def with_probability(df: DataFrame, model: PipelineModel) -> DataFrame:
+def with_probability(df: DataFrame, model: BoostedModel) -> DataFrame:
     """The rows of ``df`` with the model's probability of failure."""
-    scored = model.transform(df)
-    return scored.select(*df.columns, vector_to_array("probability")[1].alias("probability"))
+    return model.with_probability(df)
 
 
 @dataclass(frozen=True)
 class Trained:
-    model: PipelineModel
+    model: BoostedModel
     threshold: float
 
 

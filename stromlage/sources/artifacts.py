@@ -3,11 +3,11 @@
 import logging
 
 from pyspark.errors import AnalysisException
-from pyspark.ml import PipelineModel
 from pyspark.sql import SparkSession
 
 from stromlage import fixed_values as fv
 from stromlage import schemas
+from stromlage.operators.boosting import NODES, BoostedModel
 from stromlage.sources.readers import MissingInput, path_missing
 
 logger = logging.getLogger(__name__)
@@ -34,15 +34,15 @@ def load_threshold(
     return row.threshold
 
 
-def save_model(model: PipelineModel, path: str) -> None:
-    model.write().overwrite().save(path)
+def save_model(spark: SparkSession, model: BoostedModel, path: str) -> None:
+    model.nodes(spark).coalesce(1).write.mode("overwrite").parquet(path)
 
 
-def load_model(spark: SparkSession, path: str) -> PipelineModel:
+def load_model(spark: SparkSession, path: str, columns: list[str] = fv.FEATURES) -> BoostedModel:
     try:
-        spark.read.text(f"{path}/metadata")
+        nodes = spark.read.schema(NODES).parquet(path)
     except AnalysisException as error:
         if path_missing(error):
             raise MissingInput(path) from error
         raise
-    return PipelineModel.load(path)
+    return BoostedModel.from_nodes(nodes, columns)

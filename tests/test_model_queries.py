@@ -1,30 +1,17 @@
-"""The registered model queries train in full, and evaluation has one."""
-
-import pytest
+"""The registered model queries: one model of all rounds, used by each."""
 
 from stromlage.plans.training import Params
-from workload import catalog
-
-
-@pytest.mark.parametrize("name", ["gbt_soft_labels", "model_evaluation"])
-def test_all_rounds_are_trained(monkeypatch, name):
-    given = []
+from workload import models
 
-    def train(rows, params, cutoff):
-        given.append(params)
-        raise InterruptedError
+SF = "/root/testdata/sf0.001"
 
-    monkeypatch.setattr(catalog, "feature_table", lambda spark, d: None)
-    monkeypatch.setattr(catalog, "stage", lambda rows, label: None)
-    monkeypatch.setattr(catalog, "train_and_tune", train)
-    with pytest.raises(InterruptedError):
-        catalog.QUERIES[name](None, "")
-    assert given == [Params()] and given[0].rounds == 300
 
-
-def test_reports_of_the_later_rows(spark, monkeypatch):
-    """Their form; two rounds are enough for that."""
-    monkeypatch.setattr(catalog, "Params", lambda: Params(rounds=2))
-    rows = catalog.QUERIES["model_evaluation"](spark, "/root/testdata/sf0.001").collect()
+def test_reports_of_the_later_rows(spark):
+    rows = models.model_evaluation(spark, SF).collect()
     assert {r["at"] for r in rows} == {"default", "tuned"} and len(rows) == 10
     assert len({r.support for r in rows if r["class"] == "accuracy"}) == 1
+
+
+def test_one_model_of_all_rounds(spark):
+    first, again = (models._whole(spark, SF)[0] for _ in range(2))
+    assert first is again and len(first.model.trees) == Params().growth.rounds == 300

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from stromlage import schemas
 from stromlage.operators import curve, snapshots
+from stromlage.operators.boosting import Growth
 from stromlage.plans import scoring, training
 from stromlage.sources import artifacts, readers
 from stromlage.sources.tables import VersionedTable
@@ -93,7 +94,7 @@ def features(spark):
 
 @pytest.fixture(scope="module")
 def trained(features):
-    return training.train_and_tune(features, training.Params(rounds=4))
+    return training.train_and_tune(features, training.Params(growth=Growth(rounds=12)))
 
 
 def test_training_separates_out_of_time(features, trained):
@@ -118,7 +119,7 @@ def test_run_from_features_to_queue(spark, features, trained, tmp_path):
         "short_name STRING, year INT, economic_loss_per_hr DOUBLE")
     with pytest.raises(readers.MissingInput):
         scoring.run(spark, features, corridors, performance, paths)
-    artifacts.save_model(trained[0].model, paths.model)
+    artifacts.save_model(spark, trained[0].model, paths.model)
     artifacts.save_threshold(spark, trained[0].threshold, paths.threshold)
 
     queue = scoring.run(spark, features, corridors, performance, paths)
