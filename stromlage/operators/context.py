@@ -1,10 +1,13 @@
 """Live grid context: snapshots, availability, deltas."""
 
+import datetime as dt
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from stromlage import fixed_values as fv
 from stromlage.operators.snapshots import latest_ts, snapshot_at, trailing
+from stromlage.sources.parts import NO_DAY, PartedTable
 
 
 def is_sagging(kv: Column) -> Column:
@@ -46,6 +49,18 @@ def availability(df: DataFrame, back: str = "30 DAY") -> DataFrame:
     return trailing(df, back).agg(_availability(F.lit(True)).alias("availability_pct"))
 
 
+def availability_of_days(table: PartedTable, days: int = 30) -> DataFrame:
+    """Availability and row count of the last ``days`` calendar days of a table cut by day.
+
+    The latest day is the greatest folder name; no other folder than those of
+    the days wanted is scanned.
+    """
+    days_held = [f for f in table.folders() if f != NO_DAY]
+    first = dt.date.fromisoformat(days_held[-1]) - dt.timedelta(days - 1) if days_held else dt.date.max
+    kept = table.parts([f for f in days_held if dt.date.fromisoformat(f) >= first])
+    return kept.agg(_availability(F.lit(True)).alias("availability_pct"), F.count("*").alias("n_rows"))
+
+
 def grid_context(df: DataFrame, back: str = "30 DAY", step: str = "1 HOUR") -> DataFrame:
     """Both snapshots, their deltas and availability in one row and one pass.
 

@@ -13,6 +13,7 @@ from stromlage.operators.joins import map_names
 from stromlage.operators.quality import unmapped
 from stromlage.session import stage
 from stromlage.sources.landed import read_poi_json, split_malformed, weather_rows
+from stromlage.sources.parts import PartedTable
 from stromlage.sources.tables import VersionedTable
 
 logger = logging.getLogger(__name__)
@@ -50,8 +51,11 @@ def load_corridors(table: VersionedTable, corridors: DataFrame) -> int | None:
     return table.upsert(corridors, ["id"], CORRIDOR_COLUMNS, touch="updated_at")
 
 
-def load_weather(table: VersionedTable, payloads: DataFrame) -> int | None:
-    """Upsert the readable hours of landed payloads; malformed hours are reported."""
+def load_weather(table: VersionedTable | PartedTable, payloads: DataFrame) -> int | list[str] | None:
+    """Upsert the readable hours of landed payloads; malformed hours are reported.
+
+    In a table cut by day an hourly load touches its day only.
+    """
     good, bad = split_malformed(stage(weather_rows(payloads), "hours"))
     skipped = bad.count()
     if skipped:
@@ -60,7 +64,7 @@ def load_weather(table: VersionedTable, payloads: DataFrame) -> int | None:
     return table.upsert(good, KEY, ["temperature", "humidity"])
 
 
-def load_telemetry(table: VersionedTable, telemetry: DataFrame) -> int | None:
+def load_telemetry(table: VersionedTable | PartedTable, telemetry: DataFrame) -> int | list[str] | None:
     table.ensure(schemas.TELEMETRY)
     return table.upsert(telemetry, KEY, ["voltage_kv", "frequency_hz", "failure_event"])
 

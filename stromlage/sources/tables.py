@@ -1,9 +1,11 @@
 """Versioned Parquet tables and upserts (K1, K3-K6)."""
 
+import json
 import logging
 import uuid
 from collections.abc import Sequence
 
+from py4j.protocol import Py4JJavaError
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -81,6 +83,18 @@ class ConcurrentWrite(RuntimeError):
     """Two changes started from the same version; the later one is to be repeated."""
 
 
+def checked_batch(updates: DataFrame, keys: Sequence[str], path: str) -> DataFrame | None:
+    """The batch as a staged table; None, with a warning, when it is empty. Repeated keys raise."""
+    batch = stage(updates, "batch")
+    if batch.isEmpty():
+        logger.warning("nothing to load into %s", path)
+        return None
+    twice = check_unique(batch, keys).limit(5).collect()
+    if twice:
+        raise DuplicateKeys(f"{path}: {twice}")
+    return batch
+
+
 class VersionedTable:
     """A Parquet table whose every change is a new version beside the old one.
 
@@ -114,16 +128,29 @@ class VersionedTable:
         return reader.parquet(f"{self.path}/data/{last.folder}")
 
     def write(self, df: DataFrame) -> int:
-        """A new version in a folder of its own; fails if another writer was first."""
+        """A new version in a folder of its own; fails if another writer was first.
+
+        The store must make a new file atomically, as local folders and HDFS do.
+        """
         before = self.version() or 0
         version, folder = before + 1, f"v{before + 1}-{uuid.uuid4().hex}"
         df.write.parquet(f"{self.path}/data/{folder}")
-        if (self.version() or 0) != before:
-            raise ConcurrentWrite(f"{self.path}: version {version} was written meanwhile")
-        entry = self.spark.createDataFrame([(version, folder)], "version LONG, folder STRING")
-        entry.write.mode("append").json(f"{self.path}/log")
+        self._enter(version, folder)
         return version
 
+    def _enter(self, version: int, folder: str) -> None:
+        """Name the version in the log. Its file is made only if there is none: of two writers one fails."""
+        file = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.path}/log/{version:012d}.json")
+        store = file.getFileSystem(self.spark._jsc.hadoopConfiguration())
+        try:
+            out = store.create(file, False)
+        except Py4JJavaError as error:
+            if not store.exists(file):
+                raise
+            raise ConcurrentWrite(f"{self.path}: version {version} was written meanwhile") from error
+        out.write(bytearray(json.dumps({"version": version, "folder": folder}) + "\n", "utf-8"))
+        out.close()
+
     def ensure(self, schema: StructType) -> "VersionedTable":
         """Create the table, empty, unless it exists; reads then use ``schema``."""
         self.schema = schema
@@ -139,12 +166,7 @@ class VersionedTable:
         touch: str | None = None,
     ) -> int | None:
         """Apply a batch; no-op with a warning when it is empty."""
-        batch = stage(updates.select(*keys, *update_cols), "batch")
-        rows = batch.count()
-        if rows == 0:
-            logger.warning("nothing to load into %s", self.path)
+        batch = checked_batch(updates.select(*keys, *update_cols), keys, self.path)
+        if batch is None:
             return None
-        twice = check_unique(batch, keys).limit(5).collect()
-        if twice:
-            raise DuplicateKeys(f"{self.path}: {twice}")
         return self.write(upsert(self.read(), batch, keys, update_cols, touch))

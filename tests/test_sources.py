@@ -1,15 +1,17 @@
 """Payloads, CSV, artifacts, versioned tables and upserts."""
 
 import datetime as dt
+import threading
 
 import pytest
 from pyspark.sql import functions as F
 
 from stromlage import schemas
-from stromlage.operators import geo
+from stromlage.operators import context, geo
 from stromlage.plans import ingestion
 from stromlage.sources import artifacts, landed, readers
-from stromlage.sources.tables import DuplicateKeys, VersionedTable, upsert
+from stromlage.sources.parts import PartedTable, by_bucket, by_day
+from stromlage.sources.tables import ConcurrentWrite, DuplicateKeys, VersionedTable, upsert
 from stromlage.sources.writers import export_queue, overwrite_table, write_csv
 from tests.conftest import rows
 
@@ -178,3 +180,72 @@ def test_performance_load(spark, caplog):
     from stromlage.operators.joins import builtin_name_map
     assert rows(ingestion.report_unmapped(raw, builtin_name_map(raw))) == [("Elsewhere",)]
     assert "1 names" in caplog.text
+
+
+def _files(path):
+    return {f: f.stat().st_mtime_ns for f in path.rglob("*.parquet")}
+
+
+def test_upsert_by_day_leaves_other_days_alone(spark, tmp_path, at):
+    schema = "k BIGINT, timestamp TIMESTAMP_NTZ, v DOUBLE, created_at TIMESTAMP_NTZ"
+    table = PartedTable(spark, str(tmp_path / "t"), by_day())
+    table.write(spark.createDataFrame([(k, at(10, d, 5), float(k), at(1, 1)) for k in range(3) for d in (1, 2, 3)], schema))
+    before = _files(tmp_path / "t")
+    batch = spark.createDataFrame([(0, at(10, 2, 5), None), (7, at(10, 2, 6), 70.0), (7, at(10, 9), 71.0)], "k BIGINT, timestamp TIMESTAMP_NTZ, v DOUBLE")
+    assert table.upsert(batch, ["k", "timestamp"], ["v"]) == ["2025-10-02", "2025-10-09"]
+    after = _files(tmp_path / "t")
+    assert {f for f in before if "2025-10-02" not in str(f)} == {f for f in before if after.get(f) == before[f]}
+    found = {(r.k, r.timestamp): (r.v, r.created_at) for r in table.read().collect()}
+    assert len(found) == 11 and found[0, at(10, 2, 5)] == (None, at(1, 1)) and found[1, at(10, 2, 5)] == (1.0, at(1, 1))
+    assert found[7, at(10, 9)][0] == 71.0 and found[7, at(10, 9)][1] is not None
+    assert table.upsert(batch.filter("k > 8"), ["k", "timestamp"], ["v"]) is None
+    with pytest.raises(DuplicateKeys):
+        table.upsert(batch.union(batch), ["k", "timestamp"], ["v"])
+    assert _files(tmp_path / "t") == after
+
+
+def test_touched_folders_are_all_that_is_scanned(spark, tmp_path, at):
+    table = PartedTable(spark, str(tmp_path / "t"), by_bucket("k", 4))
+    table.write(spark.range(100).selectExpr("id AS k", "id * 2 AS v"))
+    part = table.parts(["1"])
+    assert {f.split("_part=")[1][0] for f in part.inputFiles()} >= {"1"}
+    plan = part._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [isnotnull(_part" in plan or "PartitionFilters: [(_part" in plan
+    written = table.upsert(spark.createDataFrame([(5, -1)], "k BIGINT, v BIGINT"), ["k"], ["v"])
+    assert len(written) == 1 and table.read().agg(F.sum("v")).head()[0] == 9900 - 10 - 1
+
+
+def test_days_are_pruned_by_the_latest_folder(spark, tmp_path, at):
+    table = PartedTable(spark, str(tmp_path / "t"), by_day())
+    rows = [(1, at(10, d), 0.0 if d % 2 else 1.0) for d in range(1, 11)] + [(2, None, 0.0)]
+    table.write(spark.createDataFrame(rows, "corridor_id BIGINT, timestamp TIMESTAMP_NTZ, failure_event DOUBLE"))
+    one = context.availability_of_days(table, 4)
+    assert tuple(one.head()) == (50.0, 4) and table.folders()[0] == "2025-10-01"
+    plan = one._jdf.queryExecution().executedPlan().toString()
+    assert "_part" in plan.split("PartitionFilters: ")[1].split("]")[0]
+    scanned = tmp_path / "t" / "_part=2025-10-01"
+    for f in scanned.glob("*.parquet"):
+        f.write_bytes(b"unreadable")
+    assert tuple(context.availability_of_days(table, 4).head()) == (50.0, 4)
+
+
+def test_of_two_writers_one_fails(spark, tmp_path):
+    table = VersionedTable(spark, str(tmp_path / "t"))
+    df = spark.range(3)
+    assert [table.write(df), table.write(df)] == [1, 2]
+    results = []
+
+    def write():
+        try:
+            results.append(VersionedTable(spark, table.path).write(df))
+        except ConcurrentWrite:
+            results.append("late")
+
+    both = [threading.Thread(target=write) for _ in range(2)]
+    [t.start() for t in both]
+    [t.join() for t in both]
+    assert sorted(map(str, results)) in (["3", "4"], ["3", "late"])
+    late = VersionedTable(spark, table.path)
+    with pytest.raises(ConcurrentWrite):
+        late._enter(3, "v3-other")
+    assert late.read().count() == 3

@@ -4,6 +4,7 @@ from pyspark.sql import functions as F
 
 from stromlage import fixed_values as fv
 from stromlage import schemas
+from stromlage.operators import context
 from stromlage.operators.curve import best_threshold
 from stromlage.operators.events import class_balance
 from stromlage.plans import ingestion
@@ -11,6 +12,7 @@ from stromlage.plans.features import feature_frame
 from stromlage.plans.training import expand_soft_labels
 from stromlage.session import scratch_path
 from stromlage.sources import artifacts, readers, writers
+from stromlage.sources.parts import PartedTable, by_day
 from stromlage.sources.tables import VersionedTable
 from workload import bindings as b
 from workload.catalog import CURVE, FEATURES, QUEUE, SCORES, _queue, _scores, feature_table, query, rounded, shaped, widened
@@ -131,3 +133,38 @@ def soft_label_expansion(spark, d):
     ratio = class_balance(rows).head().ratio
     return shaped(expand_soft_labels(rows, 1.0 if ratio is None else ratio).select(
         "corridor_id", "timestamp", "label", "weight"))
+
+
+RECENT = """recent AS (
+  SELECT if(corridor_id % 3 = 0, corridor_id + 1000000000, corridor_id) AS corridor_id, "timestamp", temperature
+  FROM weather, (SELECT MAX("timestamp") AS newest FROM weather) WHERE date_diff('day', "timestamp", newest) <= 2)"""
+
+
+@query("upsert_days", f"""WITH {b.TELEMETRY}, {b.WEATHER}, {RECENT}
+  SELECT corridor_id, "timestamp", ROUND(voltage_kv, 6) AS voltage_kv,
+         ROUND(if(r.corridor_id IS NULL, frequency_hz, temperature), 6) AS frequency_hz
+  FROM telemetry t FULL JOIN recent r USING (corridor_id, "timestamp")""")
+def upsert_days(spark, d):
+    """K3-K5: the readings of the last days replaced or added; other days keep their files."""
+    key = ["corridor_id", "timestamp"]
+    table = PartedTable(spark, scratch_path(spark, "days"), by_day())
+    table.write(b.telemetry(spark, d).select(*key, "voltage_kv", "frequency_hz"))
+    weather = b.weather(spark, d)
+    newest = weather.agg(F.to_date(F.max("timestamp")).alias("d")).scalar()
+    corridor = F.col("corridor_id")
+    recent = weather.where(F.date_diff(newest, F.to_date("timestamp")) <= 2).select(
+        F.when(corridor % 3 == 0, corridor + 1_000_000_000).otherwise(corridor).alias("corridor_id"), "timestamp",
+        F.col("temperature").alias("frequency_hz"))
+    table.upsert(recent, key, ["frequency_hz"])
+    return shaped(table.read())
+
+
+@query("availability_by_day_folders", f"""WITH {b.HOURLY}
+  SELECT ROUND(AVG(CAST(failure_event IS NOT DISTINCT FROM 0.0 AS INTEGER)) * 100, 1) AS availability_pct, COUNT(*) AS n_rows
+  FROM hourly, (SELECT MAX("timestamp")::DATE AS newest FROM hourly)
+  WHERE date_diff('day', "timestamp"::DATE, newest) <= 6""")
+def availability_by_day_folders(spark, d):
+    """A3, A5, F4 on readings stored by day: the latest day is a folder's name, older folders are not listed."""
+    table = PartedTable(spark, scratch_path(spark, "days"), by_day())
+    table.write(b.hourly(spark, d).select("corridor_id", "timestamp", "failure_event"))
+    return shaped(context.availability_of_days(table, 7))
