@@ -1,6 +1,7 @@
 """Latest and point-in-time rows."""
 
 import datetime as dt
+import random
 
 from pyspark.sql import functions as F
 
@@ -83,3 +84,41 @@ def test_one_entity_with_most_rows(spark):
     found = snapshots.latest_per_entity(df)
     assert found.count() == 20_001
     assert found.filter("corridor_id = 0").head().timestamp == dt.datetime(2025, 10, 1, 8, 19, 57)
+
+
+def test_one_scan_for_all_kinds_of_targets(spark, at, tmp_path):
+    spark.createDataFrame([(1, at(10, 1), 0.0)], SCHEMA).write.parquet(str(tmp_path / "t"))
+    df = spark.read.schema(SCHEMA).parquet(str(tmp_path / "t"))
+    targets = spark.createDataFrame([(1, at(10, 2), "nearest")], TARGETS)
+    plan = snapshots.demo_snapshot(df, targets)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("FileScan parquet") == 1
+
+
+def test_several_targets_of_a_corridor(spark, at):
+    df = spark.createDataFrame([(1, at(10, d), 0.1 * d) for d in range(1, 8)] + [(1, at(11, 1), None)], SCHEMA)
+    targets = spark.createDataFrame(
+        [(1, at(10, 3), "calm"), (1, at(10, 2, 13), "nearest"), (1, at(12, 1), "nearest"), (1, at(10, 20), "calm"),
+         (1, at(10, 20), "calm"), (2, at(10, 1), "nearest"), (1, at(10, 9), "other")], TARGETS)
+    assert sorted(r.timestamp for r in snapshots.demo_snapshot(df, targets).collect()) == [
+        at(10, 1), at(10, 3), at(10, 3), at(11, 1)]
+
+
+def test_merge_same_as_comparing_with_every_row(spark, at):
+    rnd = random.Random(5)
+    start = at(10, 1)
+    when = lambda: start + dt.timedelta(minutes=rnd.randrange(3000))
+    # One corridor holds most rows; one has targets only, one rows only.
+    data = {(c, when()) for c in [1] * 400 + [2, 2, 3, 5] for _ in range(1)}
+    wanted = {(c, when()) for c in [1] * 150 + [2] * 20 + [3, 4]}
+    df = spark.createDataFrame([(c, t, float(i)) for i, (c, t) in enumerate(sorted(data))], SCHEMA)
+    targets = spark.createDataFrame([(c, t, "nearest") for c, t in [*wanted, *list(wanted)[:5]]] + [(None, start, "x"), (1, None, "x")], TARGETS)
+    want = {}
+    for c, t in wanted:
+        near = sorted((abs(x - t), x) for k, x in data if k == c)
+        if near:
+            want[c, t] = near[0][1]
+    for slices in (None, 1, 13, 60):
+        found = snapshots.nearest_of_many(df, targets, slices)
+        assert {(r.corridor_id, r.wanted): r.timestamp for r in found.collect()} == want
+        assert found.count() == len(want) and found.columns == ["corridor_id", "wanted", "timestamp", "failure_event"]
+    assert snapshots.nearest_of_many(df.limit(0), targets).count() == 0
