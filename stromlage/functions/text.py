@@ -85,3 +85,8 @@ def format_value(value: Column, unit: str, decimals: int = 2) -> Column:
 
 def marker_size(risk: Column) -> Column:
     return (F.lit(10) + F.floor(risk / 10)).cast("int")
+
+
+def time_label(ts: Column) -> Column:
+    """Day, month name, year and minute; a dash without a time."""
+    return F.coalesce(F.date_format(ts, "dd MMM yyyy HH:mm"), F.lit("—"))

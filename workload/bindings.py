@@ -266,14 +266,14 @@ classified AS (
 
 def labelled_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Line items as scored rows: returned ones are the positives."""
-    score = F.least(F.lit(1.0), F.col("l_extendedprice") / F.lit(110_000.0))
+    score = F.col("l_extendedprice") / F.lit(110_000.0)
     return table(spark, sf_dir, "lineitem").select(
         score.alias("score"), (F.col("l_returnflag") == "R").cast("int").alias("label")
     )
 
 
 LABELLED = """labelled AS (
-  SELECT LEAST(CAST(1.0 AS DOUBLE), l_extendedprice / CAST(110000.0 AS DOUBLE)) AS score,
+  SELECT l_extendedprice / CAST(110000.0 AS DOUBLE) AS score,
          CASE WHEN l_returnflag = 'R' THEN 1 ELSE 0 END AS label FROM lineitem)"""
 
 
