@@ -2,7 +2,7 @@
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import WindowSpec
+from pyspark.sql.window import Window, WindowSpec
 
 from stromlage import fixed_values as fv
 from stromlage import schemas
@@ -13,12 +13,15 @@ from stromlage.functions.physics import (
 )
 from stromlage.operators.joins import join_latest, join_weather
 from stromlage.operators.rolling import roll_sliced
+from stromlage.operators.snapshots import latest_per_entity
 from stromlage.session import stage
 from stromlage.sources.readers import read_parquet
 from stromlage.sources.writers import overwrite_table
 
 WINDOW_INPUTS = ["voltage_kv", "frequency_hz", "temperature"]
 REACH = 6
+# Rows of a corridor up to the first one whose lags can be filled.
+LEAST_ROWS = 4
 
 
 def window_columns(w: WindowSpec) -> dict[str, Column]:
@@ -84,6 +87,33 @@ def engineer_features(
     return filled.select(*schemas.MODEL_FEATURES.fieldNames())
 
 
+def latest_features(
+    telemetry: DataFrame, weather: DataFrame, corridors: DataFrame, performance: DataFrame
+) -> DataFrame:
+    """The last row of each corridor in the feature table, without making that table.
+
+    A window reaches ``REACH`` rows back, so the last rows of a corridor, cut in
+    each task before they are shuffled, are all that its newest row needs. Only
+    corridors whose newest row has an unfilled lag, and enough rows for an
+    earlier one, are gone through in full.
+    """
+    joined = joined_telemetry(telemetry, weather, corridors, performance)
+    back, along = (Window.partitionBy("corridor_id").orderBy(o) for o in (F.col("timestamp").desc(), F.col("timestamp")))
+    tail = joined.withColumn("_back", F.row_number().over(back)).filter(F.col("_back") <= REACH + 1)
+    newest = stage(
+        tail.withColumns(window_columns(along)).withColumn("_n", F.count("*").over(Window.partitionBy("corridor_id")))
+        .filter(F.col("_back") == 1), "newest"
+    )
+    filled = F.col("volt_lag_2h").isNotNull() & F.col("freq_lag_3h").isNotNull()
+    found = newest.filter(filled).select(*schemas.MODEL_FEATURES.fieldNames())
+    # A first filled row has LEAST_ROWS - 1 rows before it, and the newest one is not it.
+    unfilled = stage(newest.filter(~filled & (F.col("_n") > LEAST_ROWS)).select("corridor_id"), "unfilled")
+    if unfilled.isEmpty():
+        return found
+    rest = engineer_features(telemetry.join(unfilled, "corridor_id", "left_semi"), weather, corridors, performance)
+    return found.unionByName(latest_per_entity(rest))
+
+
 def build_feature_table(
     telemetry: DataFrame,
     weather: DataFrame,

@@ -132,3 +132,24 @@ def test_split(spark, at):
     train, test = features.chronological_split(df)
     assert (train.count(), test.count()) == (1, 1)
     assert rows(train.union(test)) == rows(df)
+
+
+def test_latest_rows_same_as_from_the_whole_table(spark):
+    """Series of all lengths, with readings missing near the end."""
+    rnd = random.Random(11)
+    corridors = [(c, f"L{c} 132kV", "Benin", c) for c in range(60)]
+    data = [(c, HOUR + dt.timedelta(hours=h + rnd.choice([0, 1, 2])),
+             None if rnd.random() < 0.2 else rnd.uniform(100, 140), None if rnd.random() < 0.2 else rnd.uniform(49, 51), 0.0)
+            for c in range(60) for h in range(0, 3 * (c % 12), 3)]
+    t = spark.createDataFrame(data, "corridor_id BIGINT, timestamp TIMESTAMP_NTZ, voltage_kv DOUBLE, frequency_hz DOUBLE, failure_event DOUBLE")
+    w = t.selectExpr("corridor_id", "timestamp", "voltage_kv / 4 AS temperature", "60.0D AS humidity")
+    c = spark.createDataFrame(corridors, "id BIGINT, name STRING, disco_name STRING, critical_infra_score INT")
+    p = spark.createDataFrame([("Benin", 2023, 44.44)], "short_name STRING, year INT, economic_loss_per_hr DOUBLE")
+    whole = features.latest_per_entity(features.engineer_features(t, w, c, p))
+    found = features.latest_features(t, w, c, p)
+
+    def plain(df):
+        return sorted(tuple(round(v, 9) if isinstance(v, float) else v for v in r) for r in df.collect())
+
+    assert plain(found) == plain(whole) and found.count() > 20
+    assert features.latest_features(t.limit(0), w, c, p).count() == 0
