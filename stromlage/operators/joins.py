@@ -88,7 +88,11 @@ def enrich_queue(queue: DataFrame, corridors: DataFrame) -> DataFrame:
     """Queue rows with the place and surroundings of the corridor of that name.
 
     Rows whose corridor is unknown stay, with defaults and as "Residential".
+    Scores that are not numbered yet keep their corridor_id in place of the
+    priority, and have no crew.
     """
+    numbered = "priority" in queue.columns
+    place_column = "priority" if numbered else "corridor_id"
     counts = ["hospital_count", "school_count", "market_count"]
     place = corridors.select(
         "name",
@@ -98,21 +102,22 @@ def enrich_queue(queue: DataFrame, corridors: DataFrame) -> DataFrame:
         *counts,
     )
     rows = queue.select(
-        "priority",
+        place_column,
         F.col("corridor_name").alias("name"),
         F.col("failure_probability_pct").alias("risk"),
         F.col("economic_loss_per_hr").alias("loss"),
         "risk_score",
     )
     filled = fill_defaults(rows.join(place, "name", "left"))
+    crew = [crew_name(F.col("priority")).alias("crew")] if numbered else []
     return filled.select(
-        "priority",
+        place_column,
         "name",
         "risk",
         "loss",
         "risk_score",
         infra_text(*[F.col(c) for c in counts]).alias("infra"),
-        crew_name(F.col("priority")).alias("crew"),
+        *crew,
         "lat",
         "lon",
         disco_label(F.col("disco_name")).alias("disco"),

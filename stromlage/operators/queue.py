@@ -26,6 +26,13 @@ def filter_risk(df: DataFrame, threshold: float, disco: str | None = None) -> Da
     return rows if disco is None else rows.filter(F.col("disco") == F.lit(disco))
 
 
+def _early(df: DataFrame) -> Column:
+    """Greater for rows earlier in the queue, which need not be numbered for it."""
+    if "priority" in df.columns:
+        return F.struct((-F.col("priority")).alias("order"))
+    return F.struct("risk_score", (-F.col("corridor_id")).alias("order"))
+
+
 def kpis(
     queue: DataFrame, threshold: float = 0.0, disco: str | None = None, crews: int = 3
 ) -> DataFrame:
@@ -37,7 +44,7 @@ def kpis(
     if disco is not None:
         chosen = chosen & (F.col("disco") == F.lit(disco))
     high = chosen & (F.col("risk") >= HIGH_RISK)
-    top = F.max(F.when(chosen, F.struct("risk", (-F.col("priority")).alias("order"), "name")))
+    top = F.max(F.when(chosen, F.struct("risk", _early(queue).alias("order"), "name")))
     one = queue.agg(
         F.count_if(high).alias("at_risk"),
         F.coalesce(F.sum(F.when(high, F.col("loss"))), F.lit(0.0)).alias("est_loss"),
@@ -59,7 +66,7 @@ def kpis(
 def highest(queue: DataFrame) -> DataFrame:
     """The riskiest row, the first in the queue on ties; (0, 'N/A') when empty."""
     one = queue.agg(
-        F.max(F.struct("risk", (-F.col("priority")).alias("order"), "name")).alias("_top")
+        F.max(F.struct("risk", _early(queue).alias("order"), "name")).alias("_top")
     )
     return one.select(
         F.coalesce("_top.risk", F.lit(0.0)).alias("risk"),

@@ -150,3 +150,13 @@ def test_checks(spark):
     assert tuple(quality.check_not_null(df, ["k", "v"]).head()) == (1, 1)
     labels = spark.createDataFrame([(None,), (None,)], "failure_event DOUBLE")
     assert tuple(quality.load_summary(labels).head()) == (2, 0.0)
+
+
+def test_key_figures_of_scores_that_are_not_numbered(spark):
+    schema = "corridor_id BIGINT, name STRING, risk DOUBLE, loss DOUBLE, risk_score DOUBLE, disco STRING"
+    df = spark.createDataFrame(
+        [(3, "late", 70.0, 1.0, 5.0, "x"), (2, "first", 70.0, 2.0, 9.0, "x"), (1, "none", 70.0, 4.0, None, "x"), (9, "low", 5.0, 8.0, 99.0, "x")],
+        schema)
+    assert queue.highest(df).head().name == "first"
+    one = queue.kpis(df, 30.0, crews=2).head()
+    assert (one.at_risk, one.est_loss, one.highest_name, one.total_monitored) == (3, 7.0, "first", 4)
