@@ -25,7 +25,6 @@ HEADLINE = [
     "latest_per_entity",
     "point_in_time_snapshot",
     "nearest_asof",
-    "nearest_asof_many",
     "latest_year_join",
     "weather_json_flatten",
     "poi_within_radius",
@@ -41,7 +40,6 @@ HEADLINE = [
     "classification_report",
     "upsert_replace",
     "upsert_partial",
-    "upsert_days",
 ]
 
 RUNS = 3
