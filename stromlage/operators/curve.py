@@ -2,9 +2,13 @@
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from stromlage.operators.ordering import running_sums
 
+#: Bins of scores whose F1 is bounded before any score is sorted.
+BINS = 4096
+
 
 def _ratio(a: Column, b: Column, empty: float = 0.0) -> Column:
     return F.coalesce(F.try_divide(a, b), F.lit(empty))
@@ -38,14 +42,72 @@ def pr_curve(
     return curve.withColumn("f1", _f1(F.col("precision"), F.col("recall")))
 
 
+def _bin(score: Column) -> Column:
+    """One of BINS even parts of 0 to 1 in the order of scores; what lies outside joins the outer ones, NULL is last."""
+    even = F.floor(score.cast("double") * BINS)
+    inside = F.greatest(F.least(even, F.lit(BINS - 1)), F.lit(0))
+    return F.when(score.isNull(), -1).when(F.isnan(score.cast("double")), BINS).otherwise(inside).cast("int")
+
+
+def threshold_bins(df: DataFrame, score: str = "score", label: str = "label") -> DataFrame:
+    """(_bin, pos, n, above_pos, above_n, whole_pos, upper, lower, live) of every bin that holds a score.
+
+    ``lower`` is the F1 at the bin's lowest score; no score in it does better
+    than ``upper``, where its positives all come first. Only a ``live`` bin can
+    hold the best threshold. Without positives every F1 is 0, and the lowest
+    score is the answer. At most BINS + 2 rows meet in the window.
+    """
+    bins = df.groupBy(_bin(F.col(score)).alias("_bin")).agg(
+        F.sum(F.col(label).cast("long")).alias("pos"), F.count("*").alias("n")
+    ).fillna(0, ["pos"])
+    order = Window.orderBy(F.col("_bin").desc())
+    above, whole = order.rowsBetween(Window.unboundedPreceding, -1), Window.partitionBy()
+    sums = bins.select(
+        "*", *[F.coalesce(F.sum(c).over(above), F.lit(0)).alias(f"above_{c}") for c in ("pos", "n")],
+        F.sum("pos").over(whole).alias("whole_pos"), F.min("_bin").over(whole).alias("_last"),
+    )
+
+    def f1(tp: Column, predicted: Column) -> Column:
+        return F.lit(2.0) * tp / (predicted + F.col("whole_pos"))
+
+    pos = F.col("pos")
+    first = F.greatest(pos, F.lit(1))
+    bounds = sums.select(
+        "*", f1(F.col("above_pos") + pos, F.col("above_n") + first).alias("upper"),
+        f1(F.col("above_pos") + pos, F.col("above_n") + F.col("n")).alias("lower"),
+    )
+    # A little below the best, so that rounding rules out nothing.
+    able = F.col("upper") >= F.max("lower").over(whole) * F.lit(1 - 1e-9)
+    live = F.when(F.col("whole_pos") > 0, able).otherwise(F.col("_bin") == F.col("_last"))
+    return bounds.withColumn("live", live).drop("_last")
+
+
 def best_threshold(
     df: DataFrame, score: str = "score", label: str = "label", slices: int | None = None
 ) -> DataFrame:
-    """The threshold of the largest F1, the lowest one on ties; one row."""
-    curve = pr_curve(df, score, label, slices)
-    return curve.orderBy(F.col("f1").desc(), F.col("threshold").asc()).limit(1).select(
-        "threshold", "f1"
+    """The threshold of the largest F1, the lowest one on ties; one row.
+
+    Branch and bound: a partial aggregation into bins bounds the F1 of each;
+    only scores of bins that can hold the best are sorted and counted exactly.
+    """
+    live = threshold_bins(df, score, label).filter("live")
+    before = Window.orderBy(F.col("_bin").desc()).rowsBetween(Window.unboundedPreceding, -1)
+    # What lies above a live bin, less what the sums over live rows count anyway.
+    shifts = {c: (F.col(f"above_{c}") - F.coalesce(F.sum(c).over(before), F.lit(0))) for c in ("pos", "n")}
+    offsets = live.select("_bin", "whole_pos", *[c.alias(f"_shift_{k}") for k, c in shifts.items()])
+    rows = df.select(F.col(score).alias("threshold"), F.col(label).cast("long").alias("pos"), _bin(F.col(score)).alias("_bin"))
+    carried = ["whole_pos", "_shift_pos", "_shift_n"]
+    per_score = rows.join(F.broadcast(offsets), "_bin").groupBy("threshold", *carried).agg(
+        F.coalesce(F.sum("pos"), F.lit(0)).alias("pos"), F.count("*").alias("n")
+    )
+    sums = running_sums(
+        per_score, [F.col("threshold").desc()], {"pos": "tp", "n": "predicted"}, slices
     )
+    tp, predicted = F.col("tp") + F.col("_shift_pos"), F.col("predicted") + F.col("_shift_n")
+    f1 = _f1(_ratio(tp, predicted), _ratio(tp, F.col("whole_pos"), empty=1.0))
+    return sums.select("threshold", f1.alias("f1")).orderBy(
+        F.col("f1").desc(), F.col("threshold").asc()
+    ).limit(1)
 
 
 def classification_report(

@@ -41,6 +41,26 @@ def test_lowest_threshold_on_a_tie_and_without_positives(spark):
     assert {r.recall for r in curve.pr_curve(none).collect()} == {1.0}
 
 
+@pytest.mark.parametrize("seed", range(4))
+def test_best_threshold_by_bounds_equals_all_thresholds(spark, seed):
+    """Scores in and outside of 0 to 1, crowded in one bin, repeated, NULL and NaN."""
+    rnd = random.Random(seed)
+    data = [
+        (rnd.choice([rnd.random(), 0.5 + rnd.random() / 9000, round(rnd.random(), 1), rnd.uniform(-2, 3)]), 0)
+        for _ in range(1500)
+    ] + [(None, seed % 2), (float("nan"), seed % 2)]
+    data = [(s, y or int(rnd.random() < (0.7 if s and s > 0.4 + seed / 10 else 0.1))) for s, y in data]
+    df = spark.createDataFrame(data, SCORED)
+    expected = curve.pr_curve(df).orderBy(F.col("f1").desc(), "threshold").head()
+    found = curve.best_threshold(df, slices=3).head()
+    assert (found.threshold, found.f1) == (expected.threshold, pytest.approx(expected.f1, abs=1e-12))
+    bins = curve.threshold_bins(df).collect()
+    assert sum(r.live for r in bins) < len(bins) / 4
+    per_bin = {r["_bin"]: r for r in bins}
+    for r in curve.pr_curve(df).withColumn("_bin", curve._bin(F.col("threshold"))).collect():
+        assert r.f1 <= per_bin[r["_bin"]].upper + 1e-12
+
+
 @pytest.mark.parametrize("data", [GOLDEN, [(0.1, 0), (0.2, 0)], [(0.9, 1)]])
 def test_report(spark, data):
     found = {r["class"]: r for r in
