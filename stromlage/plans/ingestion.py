@@ -3,6 +3,7 @@
 import logging
 
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from stromlage import fixed_values as fv
 from stromlage import schemas
@@ -11,6 +12,7 @@ from stromlage.operators.events import stressed_telemetry
 from stromlage.operators.geo import apply_infra_floors, infra_counts, payload_counts
 from stromlage.operators.joins import map_names
 from stromlage.operators.quality import unmapped
+from stromlage.operators.radius import surroundings
 from stromlage.session import stage
 from stromlage.sources.landed import read_poi_json, split_malformed, weather_rows
 from stromlage.sources.parts import PartedTable
@@ -29,10 +31,18 @@ CORRIDOR_COLUMNS = [
 def corridors_with_infra(
     corridors: DataFrame, poi: DataFrame, radius_m: float = fv.POI_RADIUS_M
 ) -> DataFrame:
-    """Corridors with counted surroundings, floors and score."""
+    """Corridors with counted surroundings, floors and score.
+
+    A column ``radius_m`` gives corridors a radius of their own; where it is
+    NULL the usual one holds.
+    """
     base = corridors.select("id", "name", "disco_name", "latitude", "longitude")
-    counts = infra_counts(base, poi, radius_m).withColumnRenamed("corridor_id", "id")
-    return apply_infra_floors(base.join(counts, "id"))
+    if "radius_m" in corridors.columns:
+        own = F.coalesce("radius_m", F.lit(float(radius_m)))
+        counts = surroundings(corridors, poi, own).drop("nearest_m", "farthest_m")
+    else:
+        counts = infra_counts(base, poi, radius_m)
+    return apply_infra_floors(base.join(counts.withColumnRenamed("corridor_id", "id"), "id"))
 
 
 def corridors_from_payloads(corridors: DataFrame, payloads: DataFrame) -> DataFrame:
