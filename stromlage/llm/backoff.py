@@ -1,15 +1,18 @@
 """Stupid-backoff language-model scores of documents, computed relationally.
 
 The counts behind a document's score are those of all other documents: what
-only it says is unseen, however often it says it. With order two, the score of
-a word w after v is c(v w) / c(v) if another document holds v w, and else
-0.4 c(w) / N; a word that no other document has counts as if seen once.
-
-Each task explodes its documents into bigrams, counted by document. Two count
-tables are aggregated by hash, within each task first: bigrams and words. The
-exploded bigrams join the bigram table, which tells how each is scored; then,
-by the word that its score still needs, the word table; what remains is summed
-per document. All three are hash partitions of which skewed ones may be split.
+only it says is unseen, however often it says it. A word is scored by the
+longest n-gram ending in it that another document holds: c(n-gram) / c(its
+context), times 0.4 for every order given up. A word that no other document has
+counts as if seen once, of all words of the others. Contexts before the first
+word are filled with a start sign.
+
+Each task explodes its documents into n-grams of the highest order, counted by
+document, with the keys of the shorter ones that end in the same word. There is
+one count table for each order, aggregated by hash within each task first, the
+lower ones from the higher, and one join for each order: n-grams that the table
+shows to be seen go on to their context's count, the others to the next order.
+What remains is summed per document.
 """
 
 import math
@@ -24,84 +27,121 @@ from pyspark.sql import functions as F
 from stromlage.llm.common import words_of
 from stromlage.session import stage
 
+ORDER = 3
 BACKOFF = 0.4
 #: Stands before the first word.
 START = 0
 
-_COLUMNS = ["doc_id", "v", "w", "n", "own_v", "own_w"]
 
+def _joined(before: np.ndarray, word: np.ndarray) -> np.ndarray:
+    """A 64-bit key of an n-gram, from that of its context and its last word."""
+    x = before * np.uint64(0x9E3779B97F4A7C15) + (word ^ (word >> np.uint64(32)))
+    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return x ^ (x >> np.uint64(31))
 
-def _counted(words: list[str]) -> tuple[np.ndarray, ...]:
-    """Distinct bigrams (v, w), how often each stands here, and how often v as first and w as a word."""
-    w = np.fromiter(map(xxhash.xxh3_64_intdigest, words), np.uint64, len(words)).view(np.int64)
-    v = np.concatenate([np.array([START], np.int64), w[:-1]])
-    names, ids = np.unique(np.concatenate([v, w]), return_inverse=True)
-    a, b = ids[: len(w)], ids[len(w) :]
-    pairs, n = np.unique(a * len(names) + b, return_counts=True)
-    a, b = pairs // len(names), pairs % len(names)
-    firsts, seconds = np.bincount(ids[: len(w)], minlength=len(names)), np.bincount(ids[len(w) :], minlength=len(names))
-    return names[a], names[b], n, firsts[a], seconds[b]
 
+def _columns(order: int) -> list[str]:
+    """Keys g1.. of the n-grams ending in a word, c2.. of their contexts, and how often the document holds each."""
+    grams, contexts = [f"g{k}" for k in range(1, order + 1)], [f"c{k}" for k in range(2, order + 1)]
+    return ["n", *grams, *contexts, *(f"own_{c}" for c in grams + contexts)]
 
-def bigrams(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """(doc_id, v, w, n, own_v, own_w): the distinct bigrams of every row with words."""
+
+def _counted(words: list[str], order: int) -> list[np.ndarray]:
+    """The columns for the distinct n-grams of the highest order."""
+    size = len(words)
+    word = np.fromiter(map(xxhash.xxh3_64_intdigest, words), np.uint64, size)
+    padded = np.concatenate([np.full(order - 1, START, np.uint64), word])
+    # ends[i] is the key of the k words up to place i of the padded text.
+    ends, grams, contexts = padded, [word], []
+    for _ in range(order - 1):
+        contexts.append(ends[order - 2 : order - 2 + size])
+        ends = np.concatenate([ends[:1], _joined(ends[:-1], padded[1:])])
+        grams.append(ends[order - 1 :])
+    _, first, counts = np.unique(grams[-1], return_index=True, return_counts=True)
+    own = []
+    for keys in grams + contexts:
+        _, back, held = np.unique(keys, return_inverse=True, return_counts=True)
+        own.append(held[back[first]])
+    return [counts, *(keys[first].view(np.int64) for keys in grams + contexts), *own]
+
+
+def ngrams(docs: DataFrame, order: int = ORDER, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """(doc_id, n, g1.., c2.., own_..): the distinct n-grams of every row with words."""
+    names = ["doc_id", *_columns(order)]
 
     def explode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for key, body in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist(), strict=True):
                 words = words_of(body)
                 if words:
-                    parts = _counted(words)
-                    k = len(parts[0])
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array([key] * k, pa.int64()), *[pa.array(p, pa.int64()) for p in parts]], _COLUMNS
-                    )
+                    parts = _counted(words, order)
+                    ids = pa.array([key] * len(parts[0]), pa.int64())
+                    yield pa.RecordBatch.from_arrays([ids, *[pa.array(p, pa.int64()) for p in parts]], names)
 
     source = docs.select(F.col(f"`{doc_id}`").cast("long").alias("doc_id"), F.col(f"`{text}`").alias("text"))
-    return source.where(F.col("text").isNotNull()).mapInArrow(explode, ", ".join(f"{c} long" for c in _COLUMNS))
+    return source.where(F.col("text").isNotNull()).mapInArrow(explode, ", ".join(f"{c} long" for c in names))
+
+
+def count_tables(exploded: DataFrame, order: int) -> dict[str, DataFrame]:
+    """(key, count) of the n-grams g1.. and contexts c2.., each order from the one above. Staged."""
+    tables = {}
+    level = exploded
+    for k in range(order, 0, -1):
+        # A key determines those of what it ends in, and its context.
+        lower = [f"g{i}" for i in range(k, 0, -1)] + [f"c{i}" for i in range(k, 1, -1)]
+        level = stage(level.groupBy(*lower).agg(F.sum("n").alias("n")), f"grams{k}")
+        tables[f"g{k}"] = level.select(f"g{k}", F.col("n").alias("count"))
+        if k > 1:
+            tables[f"c{k}"] = stage(level.groupBy(f"c{k}").agg(F.sum("n").alias("count")), f"contexts{k}")
+    return tables
 
 
-def backoff_scores(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """(doc_id, n_words, n_unseen, log_score), one row for each doc_id.
+def backoff_scores(docs: DataFrame, order: int = ORDER, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """(doc_id, n_words, n_unseen, n_alone, log_score), one row for each doc_id.
 
     ``log_score`` is the sum of the natural logarithms of its words' scores,
-    ``n_unseen`` the number of words scored by backing off. Null, empty and
-    white texts have no words and the score 0. Ids should be unique; rows that
-    share one (or have none) are counted row by row and added up.
+    ``n_unseen`` the number of words that back off at all, ``n_alone`` of those
+    that are scored without any context. Null, empty and white texts have no
+    words and the score 0. Ids should be unique; rows that share one (or have
+    none) are counted row by row and added up. ``order`` is 2 or more.
     """
-    exploded = bigrams(docs, doc_id, text)
-    pairs = exploded.groupBy("v", "w").agg(F.sum("n").alias("c"))
-    # Words as first of a bigram and as second, from one pass over each text's distinct words.
-    sides = F.array(
-        F.struct(F.col("v").alias("x"), F.col("n").alias("first"), F.lit(0).cast("long").alias("word")),
-        F.struct(F.col("w").alias("x"), F.lit(0).cast("long").alias("first"), F.col("n").alias("word")),
-    )
-    table = stage(pairs, "bigrams")
-    words = stage(
-        table.select("v", "w", F.col("c").alias("n")).select(F.explode(sides).alias("s")).select("s.*")
-        .groupBy("x").agg(F.sum("first").alias("first"), F.sum("word").alias("word")), "words",
-    )
-    total = words.agg(F.coalesce(F.sum("word"), F.lit(0)).alias("total")).head()["total"]
-    seen = F.col("c") > F.col("n")
-    needed = exploded.join(table, ["v", "w"]).select(
-        "doc_id", "n", seen.alias("seen"),
-        F.when(seen, F.col("v")).otherwise(F.col("w")).alias("x"),
-        F.when(seen, F.col("own_v")).otherwise(F.col("own_w")).alias("own"),
-        F.when(seen, F.log((F.col("c") - F.col("n")).cast("double"))).alias("log_c"),
-    )
-    rest = F.greatest(F.col("word") - F.col("own"), F.lit(1)).cast("double")
-    log = F.when(F.col("seen"), F.col("log_c") - F.log((F.col("first") - F.col("own")).cast("double"))).otherwise(
-        F.lit(math.log(BACKOFF)) + F.log(rest)
-    )
-    sums = needed.join(words, "x").groupBy("doc_id").agg(
-        F.sum("n").alias("n_words"), F.sum(F.when(F.col("seen"), 0).otherwise(F.col("n"))).alias("n_unseen"),
-        F.sum(F.col("n") * log).alias("sum"),
+    if order < 2:
+        raise ValueError("the order must be 2 at least")
+    exploded = ngrams(docs, order, doc_id, text)
+    tables = count_tables(exploded, order)
+    total = tables["g1"].agg(F.coalesce(F.sum("count"), F.lit(0)).alias("total")).head()["total"]
+    n, rest, scored = F.col("n"), exploded, []
+    for k in range(order, 1, -1):
+        met = rest.join(tables[f"g{k}"], f"g{k}")
+        others = F.col("count") - F.col(f"own_g{k}")
+        seen = met.where(others > 0).select(
+            "doc_id", "n", f"c{k}", f"own_c{k}", F.log(others.cast("double")).alias("log_c")
+        ).join(tables[f"c{k}"], f"c{k}")
+        divided = F.log((F.col("count") - F.col(f"own_c{k}")).cast("double"))
+        given_up = F.lit((order - k) * math.log(BACKOFF))
+        scored.append(seen.select(
+            "doc_id", "n", (n if k < order else F.lit(0)).cast("long").alias("unseen"), F.lit(0).cast("long").alias("alone"),
+            (given_up + F.col("log_c") - divided).alias("log"),
+        ))
+        gone = [f"g{k}", f"c{k}", f"own_g{k}", f"own_c{k}", "count"]
+        rest = met.where(others <= 0).drop(*gone)
+    held = F.greatest(F.col("count") - F.col("own_g1"), F.lit(1)).cast("double")
+    scored.append(rest.join(tables["g1"], "g1").select(
+        "doc_id", "n", n.alias("unseen"), n.alias("alone"), (F.lit((order - 1) * math.log(BACKOFF)) + F.log(held)).alias("log"),
+    ))
+    every = scored[0]
+    for part in scored[1:]:
+        every = every.unionByName(part)
+    sums = every.groupBy("doc_id").agg(
+        F.sum("n").alias("n_words"), F.sum("unseen").alias("n_unseen"), F.sum("alone").alias("n_alone"),
+        F.sum(n * F.col("log")).alias("sum"),
     )
-    # What backing off divides by, the words of all other documents, is one number for each document.
-    others = F.log(F.greatest(F.lit(total) - F.col("n_words"), F.lit(1)).cast("double"))
-    scores = sums.withColumn("log_score", F.col("sum") - F.col("n_unseen") * others)
+    # What a lone word's count is divided by, the words of all other documents, is one number for each document.
+    words = F.log(F.greatest(F.lit(total) - F.col("n_words"), F.lit(1)).cast("double"))
+    scores = sums.withColumn("log_score", F.col("sum") - F.col("n_alone") * words)
     ids = docs.select(F.col(f"`{doc_id}`").cast("long").alias("doc_id")).distinct()
     return ids.alias("i").join(scores.alias("s"), F.col("i.doc_id").eqNullSafe(F.col("s.doc_id")), "left").select(
-        "i.doc_id", *[F.coalesce(c, F.lit(0)).cast("long").alias(c) for c in ("n_words", "n_unseen")],
+        "i.doc_id", *[F.coalesce(c, F.lit(0)).cast("long").alias(c) for c in ("n_words", "n_unseen", "n_alone")],
         F.coalesce("log_score", F.lit(0.0)).alias("log_score"),
     )

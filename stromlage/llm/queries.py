@@ -120,32 +120,32 @@ OP6_SQL = r"""
 WITH cut AS (
     SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS ws FROM documents
 ), positions AS (
-    SELECT doc_id, len(ws) AS n_words, unnest(list_prepend('', ws[:-2])) AS v, unnest(ws) AS w FROM cut WHERE len(ws) > 0
+    SELECT doc_id, len(ws) AS n_words, unnest(list_concat(['', ''], ws[:-3])) AS u,
+        unnest(list_prepend('', ws[:-2])) AS v, unnest(ws) AS w FROM cut WHERE len(ws) > 1
+    UNION ALL SELECT doc_id, 1, '', '', ws[1] FROM cut WHERE len(ws) = 1
 ), own AS (
-    SELECT doc_id, n_words, v, w, count(*) AS n FROM positions GROUP BY ALL
-), pairs AS (
-    SELECT v, w, sum(n) AS c FROM own GROUP BY ALL
-), firsts AS (
-    SELECT v, sum(n) AS c FROM own GROUP BY v
-), words AS (
-    SELECT w, sum(n) AS c FROM own GROUP BY w
-), own_firsts AS (
-    SELECT doc_id, v, sum(n) AS c FROM own GROUP BY ALL
-), own_words AS (
-    SELECT doc_id, w, sum(n) AS c FROM own GROUP BY ALL
+    SELECT doc_id, n_words, u, v, w, count(*) AS n FROM positions GROUP BY ALL
+), held AS (
+    SELECT *, sum(n) OVER (PARTITION BY u, v, w) - n AS c3,
+        sum(n) OVER (PARTITION BY u, v) - sum(n) OVER (PARTITION BY doc_id, u, v) AS before3,
+        sum(n) OVER (PARTITION BY v, w) - sum(n) OVER (PARTITION BY doc_id, v, w) AS c2,
+        sum(n) OVER (PARTITION BY v) - sum(n) OVER (PARTITION BY doc_id, v) AS before2,
+        sum(n) OVER (PARTITION BY w) - sum(n) OVER (PARTITION BY doc_id, w) AS c1,
+        sum(n) OVER () - n_words AS others
+    FROM own
 ), scored AS (
-    SELECT own.doc_id, own.n, own.n_words, pairs.c > own.n AS seen,
-        CASE WHEN pairs.c > own.n THEN ln((pairs.c - own.n)::DOUBLE) - ln((firsts.c - own_firsts.c)::DOUBLE)
-        ELSE ln(0.4) + ln(greatest(words.c - own_words.c, 1)::DOUBLE)
-            - ln(greatest((SELECT sum(n) FROM own) - own.n_words, 1)::DOUBLE) END AS score
-    FROM own JOIN pairs USING (v, w) JOIN firsts USING (v) JOIN words USING (w)
-    JOIN own_firsts ON own_firsts.doc_id = own.doc_id AND own_firsts.v = own.v
-    JOIN own_words ON own_words.doc_id = own.doc_id AND own_words.w = own.w
+    SELECT doc_id, n, c3 = 0 AS unseen, c3 = 0 AND c2 = 0 AS alone,
+        CASE WHEN c3 > 0 THEN ln(c3::DOUBLE / before3::DOUBLE)
+             WHEN c2 > 0 THEN ln(0.4) + ln(c2::DOUBLE / before2::DOUBLE)
+             ELSE 2 * ln(0.4) + ln(greatest(c1, 1)::DOUBLE / greatest(others, 1)::DOUBLE) END AS score
+    FROM held
 ), totals AS (
-    SELECT doc_id, CAST(sum(n) AS BIGINT) AS n_words, CAST(sum(n) FILTER (NOT seen) AS BIGINT) AS n_unseen, sum(n * score) AS log_score
+    SELECT doc_id, CAST(sum(n) AS BIGINT) AS n_words, CAST(sum(n) FILTER (unseen) AS BIGINT) AS n_unseen,
+        CAST(sum(n) FILTER (alone) AS BIGINT) AS n_alone, sum(n * score) AS log_score
     FROM scored GROUP BY doc_id
 )
-SELECT doc_id, coalesce(n_words, 0) AS n_words, coalesce(n_unseen, 0) AS n_unseen, round(coalesce(log_score, 0), 3) AS log_score
+SELECT doc_id, coalesce(n_words, 0) AS n_words, coalesce(n_unseen, 0) AS n_unseen, coalesce(n_alone, 0) AS n_alone,
+    round(coalesce(log_score, 0), 3) AS log_score
 FROM (SELECT DISTINCT doc_id FROM documents) LEFT JOIN totals USING (doc_id)
 """
 

@@ -7,39 +7,62 @@ import pytest
 from stromlage.llm.backoff import backoff_scores
 
 
-def brute(rows):
-    """doc_id -> (n_words, n_unseen, log_score) for unique ids."""
+def brute(rows, order):
+    """doc_id -> (n_words, n_unseen, n_alone, log_score) for unique ids."""
     words = {k: re.findall(r"[^\x20\x09-\x0D]+", t or "") for k, t in rows}
-    own = {k: (Counter(zip([None, *w], w)), Counter([None, *w][:-1] if w else []), Counter(w)) for k, w in words.items()}
-    pairs, firsts, single = (sum((o[i] for o in own.values()), Counter()) for i in range(3))
-    total, out = sum(single.values()), {}
-    for k, (p, f, s) in own.items():
-        unseen, score = 0, 0.0
-        for (v, w), n in p.items():
-            if pairs[v, w] > n:
-                score += n * math.log((pairs[v, w] - n) / (firsts[v] - f[v]))
-            else:
-                unseen += n
-                score += n * math.log(0.4 * max(single[w] - s[w], 1) / max(total - len(words[k]), 1))
-        out[k] = (len(words[k]), unseen, score)
+
+    def counts(ws):
+        padded = [None] * (order - 1) + ws
+        grams, contexts = Counter(), Counter()
+        for i in range(len(ws)):
+            for k in range(1, order + 1):
+                gram = tuple(padded[i + order - k : i + order])
+                grams[gram] += 1
+                contexts[k, gram[:-1]] += 1
+        return grams, contexts
+
+    own = {k: counts(ws) for k, ws in words.items()}
+    grams, contexts = (sum((o[i] for o in own.values()), Counter()) for i in range(2))
+    total, out = sum(map(len, words.values())), {}
+    for key, ws in words.items():
+        mine, before = own[key]
+        padded, unseen, alone, score = [None] * (order - 1) + ws, 0, 0, 0.0
+        for i in range(len(ws)):
+            for k in range(order, 0, -1):
+                gram = tuple(padded[i + order - k : i + order])
+                c = grams[gram] - mine[gram]
+                if k == 1:
+                    score += math.log(max(c, 1) / max(total - len(ws), 1))
+                    alone += 1
+                elif c > 0:
+                    score += math.log(c / (contexts[k, gram[:-1]] - before[k, gram[:-1]]))
+                if k == 1 or c > 0:
+                    break
+                score += math.log(0.4)
+            unseen += k < order
+        out[key] = (len(ws), unseen, alone, score)
     return out
 
 
-def check(spark, rows):
+def check(spark, rows, order=3):
     docs = spark.createDataFrame([(*r, 1) for r in rows], "doc_id long, text string, n int")
-    want, got = brute(rows), backoff_scores(docs).collect()
+    want, got = brute(rows, order), backoff_scores(docs, order).collect()
     assert len(got) == len(want)
     for r in got:
-        assert (r.n_words, r.n_unseen) == want[r.doc_id][:2]
-        assert r.log_score == pytest.approx(want[r.doc_id][2], abs=1e-6)
+        assert (r.n_words, r.n_unseen, r.n_alone) == want[r.doc_id][:3]
+        assert r.log_score == pytest.approx(want[r.doc_id][3], abs=1e-6, rel=1e-9)
 
 
 def test_small_table_same_as_brute_force(spark):
     check(spark, [(r.doc_id, r.text) for r in spark.read.parquet("/root/testdata/sf0.001/documents.parquet").collect()])
 
 
-def test_odd_rows(spark):
-    check(spark, [(1, None), (2, ""), (3, " \n"), (4, "a"), (5, "a"), (6, "b c b c b"), (7, "x " * 40000), (None, "b c q")])
+@pytest.mark.parametrize("order", [2, 3, 5])
+def test_odd_rows_in_several_orders(spark, order):
+    check(spark, [
+        (1, None), (2, ""), (3, " \n"), (4, "a"), (5, "a"), (6, "b c b c b"), (7, "x " * 40000), (None, "b c q"),
+        (8, "a b"), (9, "q b c b c b a b"),
+    ], order)
 
 
 def test_one_document_has_nothing_to_compare_with(spark):
