@@ -2,9 +2,11 @@
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
+from stromlage.session import stage
+
 
 def check_unique(df: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Keys held by more than one row, with their row count."""
@@ -34,6 +36,20 @@ def load_summary(df: DataFrame, label: str = "failure_event") -> DataFrame:
     )
 
 
+def staged_with_figures(
+    df: DataFrame, label: str, figures: dict[str, Column]
+) -> tuple[DataFrame, dict[str, object]]:
+    """``df`` staged, and aggregates of it observed by the write itself: no second pass."""
+    seen = Observation()
+    staged = stage(df.observe(seen, *[c.alias(name) for name, c in figures.items()]), label)
+    return staged, seen.get
+
+
+def null_figures(cols: Sequence[str]) -> dict[str, Column]:
+    """``check_not_null`` as figures of a load."""
+    return {f"null_{c}": F.count_if(F.col(c).isNull()) for c in cols}
+
+
 def dataset_summary(df: DataFrame, name: str = "disco_name", year: str = "year") -> DataFrame:
     return df.agg(
         F.count("*").alias("n_rows"),

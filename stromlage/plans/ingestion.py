@@ -11,7 +11,7 @@ from stromlage.functions.risk import with_economic_loss
 from stromlage.operators.events import stressed_telemetry
 from stromlage.operators.geo import apply_infra_floors, infra_counts, payload_counts
 from stromlage.operators.joins import map_names
-from stromlage.operators.quality import unmapped
+from stromlage.operators.quality import null_figures, staged_with_figures, unmapped
 from stromlage.operators.radius import surroundings
 from stromlage.session import stage
 from stromlage.sources.landed import read_poi_json, split_malformed, weather_rows
@@ -61,15 +61,24 @@ def load_corridors(table: VersionedTable, corridors: DataFrame) -> int | None:
     return table.upsert(corridors, ["id"], CORRIDOR_COLUMNS, touch="updated_at")
 
 
+def staged_hours(payloads: DataFrame) -> tuple[DataFrame, dict[str, object]]:
+    """Hours of landed payloads, staged, with the figures of that write.
+
+    ``n_rows``, ``null_timestamp`` (the malformed ones), and how many hours lack a reading.
+    """
+    figures = {"n_rows": F.count(F.lit(1)), **null_figures(["timestamp", "temperature", "humidity"])}
+    return staged_with_figures(weather_rows(payloads), "hours", figures)
+
+
 def load_weather(table: VersionedTable | PartedTable, payloads: DataFrame) -> int | list[str] | None:
     """Upsert the readable hours of landed payloads; malformed hours are reported.
 
     In a table cut by day an hourly load touches its day only.
     """
-    good, bad = split_malformed(stage(weather_rows(payloads), "hours"))
-    skipped = bad.count()
-    if skipped:
-        logger.warning("skipping %d malformed hours", skipped)
+    hours, figures = staged_hours(payloads)
+    if figures["null_timestamp"]:
+        logger.warning("skipping %d malformed hours", figures["null_timestamp"])
+    good, _ = split_malformed(hours)
     table.ensure(schemas.WEATHER)
     return table.upsert(good, KEY, ["temperature", "humidity"])
 

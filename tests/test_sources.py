@@ -146,6 +146,15 @@ def test_versioned_table(spark, tmp_path, caplog):
     assert rows(table.read().select("k", "v")) == [(1, 1.0), (2, 2.0)]
 
 
+def test_figures_of_a_load_come_with_its_write(spark, payloads):
+    hours, seen = ingestion.staged_hours(payloads)
+    assert seen["n_rows"] == hours.count() > 0
+    for c in ("timestamp", "temperature", "humidity"):
+        assert seen[f"null_{c}"] == hours.filter(F.col(c).isNull()).count()
+    _, none = ingestion.staged_hours(payloads.filter("payload = ''"))
+    assert set(none.values()) == {0}
+
+
 def test_loads(spark, payloads, tmp_path, at, caplog):
     weather = VersionedTable(spark, str(tmp_path / "weather"))
     ingestion.load_weather(weather, payloads)
