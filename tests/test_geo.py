@@ -123,7 +123,7 @@ def test_many_rows_of_a_short_table_are_dealt_over_all_cores(spark):
     """Both tables fit a broadcast, which would leave every pair to the one task that reads the other."""
     c = spark.createDataFrame([(k, 9.0 + k / 100, 7.0) for k in range(40)], "id BIGINT, latitude DOUBLE, longitude DOUBLE")
     p = spark.createDataFrame([(9.0 + k / 90, 7.0, "school", "", "") for k in range(40)], "lat DOUBLE, lon DOUBLE, " + TAGS)
-    for found in [geo.poi_within(c.coalesce(1), p)]:
+    for found in (geo.poi_within(c.coalesce(1), p), geo.infra_counts(c.coalesce(1), p)):
         plan = found._jdf.queryExecution().executedPlan().toString()
         assert "_row" in plan and not [x for x in plan.splitlines() if "BroadcastHashJoin" in x and "_row" in x]
         before = plan[plan.index("Generate explode"):]
