@@ -2,10 +2,12 @@
 
 Features are cut into bins once, at quantiles from one mergeable sketch pass.
 Each level of a tree is one aggregation: tasks add up gradients and hessians by
-(node, feature, bin) over their rows, the sums are shuffled, and at most
-``2 ** (depth - 1) * features * (bins + 1)`` of them, whatever the number of
-rows, reach the driver, which picks the splits. A missing value has a bin of its
-own and goes to the side where it gains more: nothing is filled in.
+(node, feature, bin) over their rows, and the driver picks the splits from at most
+``2 ** (depth - 1) * features * (bins + 1)`` sums, whatever the number of rows. With
+few cores the sums of each task reach it as they are, one small job a level; with
+many they are shuffled and added first. Rows travel as blocks of plain arrays, and
+margins are carried on in memory from tree to tree. A missing value has a bin of
+its own and goes to the side where it gains more: nothing is filled in.
 """
 
 import random
@@ -21,8 +23,10 @@ from pyspark.sql import functions as F
 
 from stromlage.session import stage
 
-#: Trees whose values are added up anew in every pass; then the margins are written down.
+#: Trees whose values are carried on in memory; then the margins are written down.
 TREES_IN_FLIGHT = 20
+#: With more cores than this the sums of tasks are added by a shuffle before they reach the driver.
+FEW_CORES = 64
 #: Gains are compared to this many decimals: equal splits go by feature and cut, whatever the order of the sums.
 GAIN_PLACES = 6
 
@@ -62,6 +66,17 @@ class Tree:
         self.missing_left = np.zeros(n, bool)
         self.cut, self.gain, self.value = np.zeros(n), np.zeros(n), np.zeros(n)
 
+    def nodes_of_bins(self, bins: np.ndarray, steps: int) -> np.ndarray:
+        """The node of each row after so many steps down; ``bins`` is by feature, and 0 is a missing value."""
+        n = bins.shape[1]
+        at, flat, rows = np.zeros(n, np.int64), bins.ravel(), np.arange(n)
+        for _ in range(steps):
+            feature = self.feature[at]
+            value = flat.take(np.maximum(feature, 0) * n + rows)
+            left = np.where(value == 0, self.missing_left[at], value <= self.bin[at])
+            at = np.where(feature >= 0, 2 * at + 2 - left, at)
+        return at
+
     def nodes_of(self, values: np.ndarray, missing: np.ndarray, limit: np.ndarray) -> np.ndarray:
         """The node where each row ends; ``limit`` is what a value is held against at each node."""
         at, rows = np.zeros(len(values), np.int64), np.arange(len(values))
@@ -73,7 +88,7 @@ class Tree:
         return at
 
     def values_of_bins(self, bins: np.ndarray) -> np.ndarray:
-        return self.value[self.nodes_of(bins, bins == 0, self.bin)]
+        return self.value[self.nodes_of_bins(bins, self.depth)]
 
 
 @dataclass(frozen=True)
@@ -150,37 +165,43 @@ def even_cuts(df: DataFrame, columns: list[str], bins: int = 64) -> list[np.ndar
     return [np.array([] if lo is None else [lo + (hi - lo) * i / bins for i in range(1, bins)]) for lo, hi in pairs]
 
 
-ROWS = "row long, bins binary, y double, w double, margin double"
+#: A block of rows: an array of each, as bytes.
+BLOCKS = "row binary, bins binary, y binary, w binary, margin binary"
+_KINDS = (np.int64, np.uint8, np.float64, np.float64, np.float64)
+
+
+def _block(*arrays: np.ndarray) -> pa.RecordBatch:
+    held = [pa.array([np.ascontiguousarray(x, t).tobytes()], pa.binary()) for x, t in zip(arrays, _KINDS)]
+    return pa.RecordBatch.from_arrays(held, ["row", "bins", "y", "w", "margin"])
+
+
+def _blocks(batches: Iterator[pa.RecordBatch], n_features: int) -> Iterator[tuple[np.ndarray, ...]]:
+    """(row, bins by feature, y, w, margin) of each block."""
+    for batch in batches:
+        for k in range(batch.num_rows):
+            row, bins, y, w, margin = (np.frombuffer(c[k].as_buffer(), t) for c, t in zip(batch.columns, _KINDS))
+            yield row, bins.reshape(n_features, len(row)), y, w, margin
 
 
 def _binned(df: DataFrame, columns: list[str], cuts: list[np.ndarray], label: str, weight: Column) -> DataFrame:
-    """Rows (``ROWS``) with a byte for each feature: 0 if missing, else one more than the cuts below the value."""
+    """Blocks (``BLOCKS``) with a byte for each row and feature: 0 if missing, else one more than the cuts below the value."""
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             n = batch.num_rows
-            held = np.zeros((n, len(columns)), np.uint8)
+            if not n:
+                continue
+            held = np.zeros((len(columns), n), np.uint8)
             for i, edges in enumerate(cuts):
                 x = batch.column(i + 3).to_numpy(zero_copy_only=False).astype(float)
-                held[:, i] = np.where(np.isnan(x), 0, 1 + np.searchsorted(edges, x, side="left"))
-            bins = pa.FixedSizeBinaryArray.from_buffers(pa.binary(len(columns)), n, [None, pa.py_buffer(held.tobytes())])
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), bins.cast(pa.binary()), batch.column(1), batch.column(2), pa.array(np.zeros(n))],
-                ["row", "bins", "y", "w", "margin"],
-            )
+                held[i] = np.where(np.isnan(x), 0, 1 + np.searchsorted(edges, x, side="left"))
+            row, y, w = (batch.column(i).to_numpy(zero_copy_only=False) for i in range(3))
+            yield _block(row, held, y, w, np.zeros(n))
 
     return df.select(
         F.monotonically_increasing_id().alias("_row"), F.col(label).cast("double").alias("_y"), weight.cast("double").alias("_w"),
         *(_plain(c).alias(f"_f{i}") for i, c in enumerate(columns)),
-    ).where(F.col("_y").isNotNull()).mapInArrow(cut, ROWS)
-
-
-def _arrays(batch: pa.RecordBatch, n_features: int, trees: list[Tree]) -> tuple[np.ndarray, ...]:
-    """(row, bins, y, w, margin with ``trees``) of a batch of ``ROWS``."""
-    row, _, y, w, margin = (c.to_numpy(zero_copy_only=False) for c in batch.columns)
-    flat = batch.column(1).cast(pa.binary(n_features))
-    bins = np.frombuffer(flat.buffers()[1], np.uint8, len(row) * n_features, flat.offset * n_features).reshape(-1, n_features)
-    return row, bins, y, w, margin + sum((t.values_of_bins(bins) for t in trees), np.zeros(len(row)))
+    ).where(F.col("_y").isNotNull()).mapInArrow(cut, BLOCKS)
 
 
 def _drawn(row: np.ndarray, share: float, seed: int, number: int) -> np.ndarray:
@@ -192,30 +213,46 @@ def _drawn(row: np.ndarray, share: float, seed: int, number: int) -> np.ndarray:
 
 
 def _sums(
-    rows: DataFrame, before: list[Tree], tree: Tree, level: int, columns: list[int], n_features: int, growth: Growth, number: int
+    rows: DataFrame, tree: Tree, level: int, columns: list[int], n_features: int, growth: Growth, number: int
 ) -> np.ndarray:
     """(gradients, hessians) by node of the level, chosen column and bin: one aggregation over all rows."""
     nodes, width = 2**level, growth.bins + 1
     shape = (nodes, len(columns), width)
+    size = nodes * len(columns) * width
 
-    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sums = np.zeros((2, nodes * len(columns) * width))
-        for batch in batches:
-            row, bins, y, w, margin = _arrays(batch, n_features, before)
-            node = tree.nodes_of(bins, bins == 0, tree.bin) - (nodes - 1)
+    def added(batches: Iterator[pa.RecordBatch]) -> np.ndarray:
+        sums = np.zeros((2, nodes, len(columns), width))
+        for row, bins, y, w, margin in _blocks(batches, n_features):
+            node = tree.nodes_of_bins(bins, level) - (nodes - 1)
             seen = (node >= 0) & (w > 0)
             if growth.row_share < 1:
                 seen &= _drawn(row, growth.row_share, growth.seed, number)
             p = 1 / (1 + np.exp(-margin[seen]))
-            cell = (node[seen, None] * len(columns) + np.arange(len(columns))) * width + bins[seen][:, columns]
-            for i, x in enumerate((w[seen] * (p - y[seen]), w[seen] * p * (1 - p))):
-                sums[i] += np.bincount(cell.ravel(), np.repeat(x, len(columns)), sums.shape[1])
+            parts = w[seen] * (p - y[seen]), w[seen] * p * (1 - p)
+            start = node[seen] * width
+            for k, c in enumerate(columns):
+                cell = start + bins[c][seen]
+                for i, x in enumerate(parts):
+                    sums[i, :, k] += np.bincount(cell, x, nodes * width).reshape(nodes, width)
+        return sums.reshape(2, size)
+
+    def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield pa.RecordBatch.from_arrays([pa.array([added(batches).tobytes()], pa.binary())], ["sums"])
+
+    def cells(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums = added(batches)
         at = np.flatnonzero(sums[1])
         yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(sums[0, at]), pa.array(sums[1, at])], ["cell", "g", "h"])
 
-    found = rows.mapInArrow(add, "cell long, g double, h double").groupBy("cell").agg(F.sum("g").alias("g"), F.sum("h").alias("h")).toArrow()
-    out = np.zeros((2, nodes * len(columns) * width))
-    out[:, found["cell"].to_numpy()] = found["g"].to_numpy(), found["h"].to_numpy()
+    out = np.zeros((2, size))
+    cores = rows.sparkSession.sparkContext.defaultParallelism
+    if cores <= FEW_CORES:
+        for r in rows.coalesce(cores).mapInArrow(whole, "sums binary").collect():
+            out += np.frombuffer(r.sums).reshape(2, size)
+    else:
+        found = rows.mapInArrow(cells, "cell long, g double, h double").groupBy("cell").agg(
+            F.sum("g").alias("g"), F.sum("h").alias("h")).toArrow()
+        out[:, found["cell"].to_numpy()] = found["g"].to_numpy(), found["h"].to_numpy()
     return out.reshape(2, *shape)
 
 
@@ -265,33 +302,35 @@ def fit(
     rows = stage(_binned(labelled, columns, edges, label, F.lit(1.0) if weight is None else weight), "binned")
     rows = rows.persist(StorageLevel.MEMORY_AND_DISK)
     trees: list[Tree] = []
-    flying: list[Tree] = []
+    before = None
     for number in range(growth.rounds):
         chosen = sorted(random.Random(growth.seed + number).sample(
             range(len(columns)), max(1, round(growth.column_share * len(columns)))))
         tree = Tree(growth.depth)
         for level in range(growth.depth):
-            sums = _sums(rows, flying, tree, level, chosen, len(columns), growth, number)
-            if level == 0 and sums[1].any():
-                g, h = sums[:, 0, 0].sum(axis=1)
-                tree.value[0] = -growth.rate * g / (h + growth.penalty)
+            sums = _sums(rows, tree, level, chosen, len(columns), growth, number)
+            if level == 0:
+                if before is not None:  # the pass has put the new margins in its place
+                    before.unpersist()
+                if sums[1].any():
+                    g, h = sums[:, 0, 0].sum(axis=1)
+                    tree.value[0] = -growth.rate * g / (h + growth.penalty)
             _split(tree, level, sums, chosen, edges, growth)
             if not (tree.feature[2**level - 1 : 2 ** (level + 1) - 1] >= 0).any():
                 break
         trees.append(tree)
-        flying.append(tree)
-        if len(flying) == TREES_IN_FLIGHT and number + 1 < growth.rounds:
-            added = stage(_with_margins(rows, flying, len(columns)), "margins").persist(StorageLevel.MEMORY_AND_DISK)
-            rows.unpersist()
-            rows, flying = added, []
+        if number + 1 < growth.rounds:
+            added = _with_margins(rows, tree, len(columns))
+            if len(trees) % TREES_IN_FLIGHT == 0:
+                added = stage(added, "margins")
+            before, rows = rows, added.persist(StorageLevel.MEMORY_AND_DISK)
     rows.unpersist()
     return BoostedModel(columns, trees)
 
 
-def _with_margins(rows: DataFrame, trees: list[Tree], n_features: int) -> DataFrame:
+def _with_margins(rows: DataFrame, tree: Tree, n_features: int) -> DataFrame:
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            margin = _arrays(batch, n_features, trees)[-1]
-            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(margin)], batch.schema.names)
+        for row, bins, y, w, margin in _blocks(batches, n_features):
+            yield _block(row, bins, y, w, margin + tree.values_of_bins(bins))
 
-    return rows.mapInArrow(add, ROWS)
+    return rows.mapInArrow(add, BLOCKS)

@@ -71,10 +71,11 @@ def train_and_tune(
     train_rows, test_rows = chronological_split(features, cutoff)
     train_rows = train_rows.filter(F.col(fv.TARGET).isNotNull())
     model = train(train_rows, params)
-    scored = with_probability(train_rows, model).select(
+    # Staged: the threshold takes several passes, all trees one.
+    scored = stage(with_probability(train_rows, model).select(
         F.col("probability").alias("score"),
         binarise(F.col(fv.TARGET), params.positive_at).alias("label"),
-    )
+    ), "scored")
     best = best_threshold(scored).head()
     return Trained(model, best.threshold), test_rows
 

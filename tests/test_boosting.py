@@ -116,3 +116,13 @@ def test_nothing_to_learn_from(spark):
     assert [r.probability for r in model.with_probability(one).collect()] == [0.5]
     constant = fit(spark.createDataFrame([(1.0, 1.0, 1, 0.0, 1.0, "x")] * 50, SCHEMA), COLUMNS, "y", growth=Growth(rounds=40))
     assert constant.with_probability(one).head().probability < 0.3
+
+
+def test_sums_straight_to_the_driver_or_by_a_shuffle_are_the_same(spark, monkeypatch):
+    df = spark.createDataFrame(data(400, 6), SCHEMA).repartition(3)
+    scored = []
+    for cores in (boosting.FEW_CORES, 0):
+        monkeypatch.setattr(boosting, "FEW_CORES", cores)
+        model = fit(df, COLUMNS, "y", growth=Growth(rounds=3, depth=2, bins=16))
+        scored.append(sorted(r.probability for r in model.with_probability(df).collect()))
+    assert scored[0] == pytest.approx(scored[1])
