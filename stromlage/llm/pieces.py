@@ -13,7 +13,6 @@ Characters outside the vocabulary become byte pieces, or else unknown.
 import re
 import zlib
 from collections.abc import Iterable, Iterator
-from os.path import commonprefix
 
 import numpy as np
 import pyarrow as pa
@@ -26,6 +25,8 @@ from stromlage.llm.common import worker_cache
 MARK = "▁"
 #: An unknown character scores so much less than the worst piece.
 UNKNOWN_PENALTY = 10.0
+#: The score of what is no piece by itself.
+NEVER = float("-inf")
 
 #: Text whose words make one trie.
 BLOCK_BYTES = 4_000_000
@@ -36,6 +37,10 @@ LONGEST_REMEMBERED = 64
 _marked_words = re.compile(f"{MARK}+[^{MARK}]*|[^{MARK}]+").findall
 
 
+def _raw(i: int) -> bytes:
+    return i.to_bytes(4, "little")
+
+
 class Vocabulary:
     """Pieces of a model file, their scores, and how its texts are marked."""
 
@@ -51,9 +56,11 @@ class Vocabulary:
         ]
         self.ids = {p: i for i, p in enumerate(names) if not special[i]}
         self.scores = {p: self.model.get_score(i) for p, i in self.ids.items()}
-        self.longest = max(map(len, self.ids), default=1)
+        #: Scores of the pieces and, as never chosen, of all their ends: longer strings are no ends of pieces either.
+        self.ends = {p[i:]: NEVER for p in self.ids for i in range(1, len(p))} | self.scores
         self.unknown = min(self.scores.values(), default=0.0) - UNKNOWN_PENALTY
         self.unk_id = self.model.unk_id()
+        self.raw = {p: _raw(i) for p, i in self.ids.items()}
         bytes_of = {int(names[i][1:-1], 16): i for i in range(size) if self.model.is_byte(i)}
         self.byte_ids = [bytes_of[b] for b in range(256)] if len(bytes_of) == 256 else None
         self.crosses = any(re.search(f"[^{MARK}]{MARK}", p) for p in self.ids)
@@ -72,37 +79,45 @@ class Vocabulary:
 
     def encode_words(self, words: Iterable[str]) -> dict[str, bytes]:
         """Word -> its ids as little-endian 32-bit numbers, by one walk over the sorted distinct words."""
-        score_of, longest, unknown = self.scores.get, self.longest, self.unknown
+        score_of, unknown = self.ends.get, self.unknown
         best, back = [0.0], [0]
         before, out = "", {}
         for word in sorted(set(words)):
-            same = len(commonprefix((before, word)))
+            same = 0
+            for x, y in zip(before, word):  # noqa: B905
+                if x != y:
+                    break
+                same += 1
             del best[same + 1 :], back[same + 1 :]
             for end in range(same + 1, len(word) + 1):
-                top, at = best[end - 1] + unknown, end - 1
-                single = score_of(word[end - 1])
-                if single is not None:
-                    top = best[end - 1] + single
-                for start in range(end - 2, max(0, end - longest) - 1, -1):
-                    score = score_of(word[start:end])
-                    if score is not None and best[start] + score >= top:
-                        top, at = best[start] + score, start
+                at = end - 1
+                score = score_of(word[at])
+                top = best[at] + (unknown if score is None or score == NEVER else score)
+                if score is not None:
+                    for start in range(at - 1, -1, -1):
+                        score = score_of(word[start:end])
+                        if score is None:
+                            break
+                        score += best[start]
+                        if score >= top:
+                            top, at = score, start
                 best.append(top)
                 back.append(at)
-            ids: list[int] = []
+            found: list[bytes] = []
             end = len(word)
             while end:
-                ids[:0] = self._ids_of(word[back[end] : end])
+                found.append(self._bytes_of(word[back[end] : end]))
                 end = back[end]
-            out[word] = np.array(ids, "<u4").tobytes()
+            out[word] = b"".join(reversed(found))
             before = word
         return out
 
-    def _ids_of(self, piece: str) -> list[int]:
-        found = self.ids.get(piece)
+    def _bytes_of(self, piece: str) -> bytes:
+        """The ids of a piece or an unknown character, as little-endian 32-bit numbers."""
+        found = self.raw.get(piece)
         if found is not None:
-            return [found]
-        return [self.byte_ids[b] for b in piece.encode()] if self.byte_ids else [self.unk_id]
+            return found
+        return b"".join(_raw(self.byte_ids[b]) for b in piece.encode()) if self.byte_ids else _raw(self.unk_id)
 
     def decode(self, ids: Iterable[int]) -> str:
         """The text of ids, without the mark put before it."""

@@ -96,3 +96,22 @@ def test_small_table_round_trip(spark, vocabulary):
         assert rows[i].decoded_sha256 == hashlib.sha256((t or "").encode()).hexdigest()
     for i in list(texts)[::10]:
         assert rows[i].n_ids == len(ids(vocabulary, texts[i]))
+
+
+def test_search_looks_no_further_than_pieces_end():
+    """Strings that end no piece are looked up once, and nothing longer than they is."""
+
+    class Counted(dict):
+        asked = 0
+
+        def get(self, key, default=None):
+            Counted.asked += 1
+            return dict.get(self, key, default)
+
+    rng, vocabulary = random.Random(6), Vocabulary(PIECES)
+    words = ["▁" + "".join(rng.choice("qxzjkvw") for _ in range(40)) for _ in range(50)]
+    want = vocabulary.encode_words(words)
+    for table in {"scores", "ends"} & set(vars(vocabulary)):
+        setattr(vocabulary, table, Counted(getattr(vocabulary, table)))
+    assert vocabulary.encode_words(words) == want
+    assert Counted.asked < 5 * sum(map(len, words))
