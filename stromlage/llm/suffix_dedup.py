@@ -6,7 +6,9 @@ least hash among its ``ANCHOR``-byte strings, so equal spans have equal anchors.
 Neighbouring spans with one anchor at one place form a unit, a short stretch of
 text; within a unit no span repeats. Spans
 whose anchor stands in one unit only are unique; units that are equal as a
-whole are counted; the different units of one anchor go into a collection.
+whole are counted; the different units of one anchor go into a collection, unless
+none of its others has the same ``ANCHOR`` bytes before or behind the anchor: a
+span reaches so far beyond it on one side at least.
 
 The transform of a collection is built as for very many short documents: each
 round puts one more symbol before every unit, from its last to its first, and
@@ -45,11 +47,9 @@ LARGEST = 4096
 _MULTIPLIERS = [np.uint64(0x9E3779B97F4A7C15 * (2 * t + 1) & (1 << 64) - 1) for t in range(ANCHOR // 8)]
 
 
-def anchors(data: bytes) -> tuple[np.ndarray, np.ndarray]:
-    """The anchor of the span at each place of ``data`` (none if it is shorter than a span), and all hashes."""
+def _hashes(data: bytes) -> np.ndarray:
+    """Of the string of ``ANCHOR`` bytes at each place of ``data``, which is no shorter."""
     n = len(data)
-    if n < SPAN:
-        return np.zeros(0, np.uint64), np.zeros(0, np.uint64)
     raw = np.frombuffer(data, np.uint8)
     words = np.lib.stride_tricks.as_strided(raw, (n - 7, 8), (1, 1)).copy().view("<u8").ravel()
     count = n - ANCHOR + 1
@@ -59,6 +59,16 @@ def anchors(data: bytes) -> tuple[np.ndarray, np.ndarray]:
     h ^= h >> np.uint64(29)
     h *= np.uint64(0xBF58476D1CE4E5B9)
     h ^= h >> np.uint64(32)
+    return h
+
+
+def anchors(data: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """The anchor of the span at each place of ``data`` (none if it is shorter than a span), and all hashes."""
+    n = len(data)
+    if n < SPAN:
+        return np.zeros(0, np.uint64), np.zeros(0, np.uint64)
+    h = _hashes(data)
+    count = len(h)
     # Least of every WIDTH neighbours: least from the left and from the right within blocks of WIDTH.
     blocks = -(-count // WIDTH)
     padded = np.full(blocks * WIDTH, np.uint64((1 << 64) - 1))
@@ -90,6 +100,29 @@ def units(data: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return of[start].view(np.int64), start, n
 
 
+def sharing(anchor: np.ndarray, strings: list[bytes]) -> np.ndarray:
+    """Whether another unit of the same anchor has the same ANCHOR bytes before or behind the anchor.
+
+    Equal spans of two units have the anchor at the same place, the first in
+    either unit. Hashes stand for bytes: units may be taken needlessly, none is missed.
+    """
+    of = anchor.view(np.uint64)
+    sizes = np.array([len(x) for x in strings])
+    begin = np.cumsum(sizes) - sizes
+    h = _hashes(b"".join(strings))
+    # The first place with the anchor, unit by unit; places from the next unit's begin on come after all of its own.
+    hit = np.flatnonzero(h == np.repeat(of, sizes)[: len(h)])
+    at = hit[np.searchsorted(hit, begin)]
+    shared = np.zeros(len(strings), bool)
+    for place, inside in ((at - ANCHOR, at - ANCHOR >= begin), (at + ANCHOR, at + 2 * ANCHOR <= begin + sizes)):
+        which = np.flatnonzero(inside)
+        near = h[place[which]]
+        order = np.lexsort((near, of[which]))
+        same = (np.diff(near[order]) == 0) & (np.diff(of[which][order]) == 0)
+        shared[which[order[1:][same]]] = shared[which[order[:-1][same]]] = True
+    return shared
+
+
 #: Stands before a whole unit; no byte of UTF-8.
 _WHOLE = 255
 
@@ -243,21 +276,32 @@ def _collected(strings: DataFrame) -> DataFrame:
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         held: list[tuple] = []
+        taken: list[tuple] = []
+
+        def take() -> None:
+            shared = sharing(np.array([r[0] for r in held], np.int64), [r[2] for r in held])
+            taken.extend(r for r, x in zip(held, shared.tolist(), strict=True) if x)
+            held.clear()
 
-        def solve(rows: list[tuple]) -> pd.DataFrame:
-            found = repeats([r[2] for r in rows])
-            return pd.DataFrame({
-                "anchor": [r[0] for r in rows], "digest": [r[1] for r in rows], "ranges": [_ranges(x) for x in found],
+        def solve() -> pd.DataFrame:
+            found = repeats([r[2] for r in taken])
+            out = pd.DataFrame({
+                "anchor": [r[0] for r in taken], "digest": [r[1] for r in taken], "ranges": [_ranges(x) for x in found],
             })
+            taken.clear()
+            return out
 
         for frame in frames:
             for row in frame.itertuples(index=False, name=None):
                 if len(held) >= COLLECTION and row[0] != held[-1][0]:
-                    yield solve(held)
-                    held = []
+                    take()
+                    if len(taken) >= COLLECTION:
+                        yield solve()
                 held.append((row[0], row[1], bytes(row[2])))
         if held:
-            yield solve(held)
+            take()
+        if taken:
+            yield solve()
 
     dealt = strings.select("anchor", "digest", "string").repartition("anchor").sortWithinPartitions("anchor")
     return dealt.mapInPandas(run, f"anchor long, digest long, ranges {RANGES}")
