@@ -8,7 +8,8 @@ text; within a unit no span repeats. Spans
 whose anchor stands in one unit only are unique; units that are equal as a
 whole are counted; the different units of one anchor go into a collection, unless
 none of its others has the same ``ANCHOR`` bytes before or behind the anchor: a
-span reaches so far beyond it on one side at least.
+span reaches so far beyond it on one side at least. Units are cut to the stretch
+where spans may lie that another unit shares, to some bytes.
 
 The transform of a collection is built as for very many short documents: each
 round puts one more symbol before every unit, from its last to its first, and
@@ -40,6 +41,10 @@ SPAN = 200
 ANCHOR = 64
 #: Spans that share an anchor's place, and so the spans of a unit, at most.
 WIDTH = SPAN - ANCHOR + 1
+#: Units that leave a task in one batch.
+UNITS_AT_ONCE = 1 << 16
+#: Units are cut to where they may repeat in so many bytes.
+STEP = 8
 #: Units of a collection, or the units of one anchor, if they are more; and the most that one anchor may have.
 COLLECTION = 1024
 LARGEST = 4096
@@ -123,6 +128,35 @@ def sharing(anchor: np.ndarray, strings: list[bytes]) -> np.ndarray:
     return shared
 
 
+def stretches(anchor: np.ndarray, strings: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """For each unit, from where to where (0, 0: nowhere) a span may lie that another unit of its anchor has.
+
+    A span that begins up to STEP bytes before a place, with the anchor's distance to it a multiple of STEP, holds the
+    SPAN - STEP bytes from there on. What lies outside such stretches that two units share cannot repeat.
+    """
+    of = anchor.view(np.uint64)
+    sizes = np.array([len(x) for x in strings])
+    begin = np.cumsum(sizes) - sizes
+    h = _hashes(b"".join(strings))
+    hit = np.flatnonzero(h == np.repeat(of, sizes)[: len(h)])
+    at = hit[np.searchsorted(hit, begin)]
+    low, high = sizes.copy(), np.zeros(len(strings), np.int64)
+    for back in range(0, WIDTH, STEP):
+        start = at - begin - back
+        which = np.flatnonzero((start >= 0) & (start + SPAN - STEP <= sizes))
+        near = of[which]
+        # Hashes of ANCHOR bytes, side by side and the last one at the end.
+        for ahead in [*range(0, SPAN - STEP - ANCHOR, ANCHOR), SPAN - STEP - ANCHOR]:
+            near = near * _MULTIPLIERS[0] ^ (near >> np.uint64(31)) ^ h[begin[which] + start[which] + ahead]
+        order = np.argsort(near)
+        same = np.diff(near[order]) == 0
+        shared = which[order[np.append(same, False) | np.append(False, same)]] if len(which) else which
+        low[shared] = np.minimum(low[shared], np.maximum(start[shared] - STEP + 1, 0))
+        high[shared] = np.maximum(high[shared], np.minimum(start[shared] + SPAN, sizes[shared]))
+    none = high - low < SPAN
+    return np.where(none, 0, low), np.where(none, 0, high)
+
+
 #: Stands before a whole unit; no byte of UTF-8.
 _WHOLE = 255
 
@@ -146,16 +180,24 @@ def repeats(strings: list[bytes]) -> list[np.ndarray]:
         active = np.flatnonzero(sizes >= length)
         n, q = len(rows), len(active)
         symbol, common = _bytes(rows, 0).copy(), np.append(_bytes(rows, 1), np.uint8(0))
-        order = np.argsort(symbol, kind="stable")
-        to = np.empty(n, np.int32)
-        to[order] = np.arange(n, dtype=np.int32)
+        # Equal symbols stand in runs, which are sorted in place of the rows.
+        begin = np.flatnonzero(np.append(True, symbol[1:] != symbol[:-1]))
+        order = np.argsort(symbol[begin], kind="stable")
+        size = np.diff(np.append(begin, n))[order]
+        sorted_begin = np.cumsum(size) - size
+        to = np.empty(len(begin), np.int64)
+        to[order] = sorted_begin
         # Among suffixes with the same symbol before them, a new suffix keeps the order of the one before it.
-        k = to[at[active]].astype(np.int64)
+        run = np.searchsorted(begin, at[active], "right") - 1
+        k = to[run] + at[active] - begin[run]
         # Common prefixes of the new suffixes with those above, and of those below with the new ones.
         touched = np.zeros(n + 1, bool)
         touched[k] = touched[k + 1] = True
         touched = np.flatnonzero(touched[:n])
-        above, here = order[touched - 1], order[touched]
+        run = np.searchsorted(sorted_begin, touched, "right") - 1
+        here = begin[order[run]] + touched - sorted_begin[run]
+        run -= (touched == sorted_begin[run]) & (touched > 0)
+        above = begin[order[run]] + touched - 1 - sorted_begin[run]
         same = (touched > 0) & (symbol[above] == symbol[here])
         least = np.zeros(len(touched), np.uint8)
         if same.any():
@@ -226,9 +268,17 @@ def _units(source: DataFrame) -> DataFrame:
     """(anchor, digest, doc_id, th, start, spans) of all units."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        parts: list[tuple] = []
+        held = 0
+
+        def joined() -> pa.RecordBatch:
+            columns = [pa.concat_arrays(c) for c in zip(*parts, strict=True)]
+            parts.clear()
+            return pa.RecordBatch.from_arrays(columns, ["anchor", "digest", "doc_id", "th", "start", "spans"])
+
         for batch in batches:
-            ids, hashes, texts = (batch.column(c).to_pylist() for c in ("doc_id", "th", "text"))
-            for key, th, body in zip(ids, hashes, texts, strict=True):
+            hashes, texts = (batch.column(c).to_pylist() for c in ("th", "text"))
+            for row, (th, body) in enumerate(zip(hashes, texts, strict=True)):
                 data = body.encode()
                 anchor, start, spans = units(data)
                 n = len(anchor)
@@ -236,11 +286,14 @@ def _units(source: DataFrame) -> DataFrame:
                     (xxhash.xxh3_64_intdigest(data[a:b]) for a, b in zip(start.tolist(), (start + spans + SPAN - 1).tolist(), strict=True)),
                     np.uint64, n,
                 ).view(np.int64)
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(anchor), pa.array(digest), pa.array([key] * n, pa.int64()), pa.array([th] * n, pa.int32()),
-                     pa.array(start, pa.int64()), pa.array(spans.astype(np.int32))],
-                    ["anchor", "digest", "doc_id", "th", "start", "spans"],
-                )
+                key = pa.repeat(batch.column("doc_id")[row], n)
+                parts.append((pa.array(anchor), pa.array(digest), key, pa.repeat(pa.scalar(th, pa.int32()), n), pa.array(start), pa.array(spans.astype(np.int32))))
+                held += n
+                if held >= UNITS_AT_ONCE:
+                    yield joined()
+                    held = 0
+        if parts:
+            yield joined()
 
     return source.mapInArrow(run, "anchor long, digest long, doc_id long, th int, start long, spans int")
 
@@ -280,13 +333,18 @@ def _collected(strings: DataFrame) -> DataFrame:
 
         def take() -> None:
             shared = sharing(np.array([r[0] for r in held], np.int64), [r[2] for r in held])
-            taken.extend(r for r, x in zip(held, shared.tolist(), strict=True) if x)
+            some = [r for r, x in zip(held, shared.tolist(), strict=True) if x]
             held.clear()
+            if some:
+                low, high = stretches(np.array([r[0] for r in some], np.int64), [r[2] for r in some])
+                cut = zip(some, low.tolist(), high.tolist(), strict=True)
+                taken.extend((anchor, digest, data[a:b], a) for (anchor, digest, data), a, b in cut if b)
 
         def solve() -> pd.DataFrame:
             found = repeats([r[2] for r in taken])
             out = pd.DataFrame({
-                "anchor": [r[0] for r in taken], "digest": [r[1] for r in taken], "ranges": [_ranges(x) for x in found],
+                "anchor": [r[0] for r in taken], "digest": [r[1] for r in taken],
+                "ranges": [_ranges(x + r[3]) for r, x in zip(taken, found, strict=True)],
             })
             taken.clear()
             return out
