@@ -4,6 +4,7 @@ from collections import Counter
 
 import pytest
 
+from stromlage.llm import backoff
 from stromlage.llm.backoff import backoff_scores
 
 
@@ -68,3 +69,31 @@ def test_odd_rows_in_several_orders(spark, order):
 def test_one_document_has_nothing_to_compare_with(spark):
     check(spark, [(1, "a b a b")])
     assert backoff_scores(spark.createDataFrame([], "doc_id long, text string")).count() == 0
+
+
+@pytest.mark.parametrize("order", [2, 3, 4])
+def test_many_blocks_and_parts_same_as_brute_force(spark, monkeypatch, order):
+    monkeypatch.setattr(backoff, "BLOCK_WORDS", 12)
+    monkeypatch.setattr(backoff, "PART_WORDS", 9)
+    rows = [(i, " ".join("abcd"[(i * j * j + j // 3) % 4] for j in range(i % 17))) for i in range(60)]
+    check(spark, rows, order)
+
+
+def test_rows_that_share_an_id_are_counted_row_by_row(spark):
+    got = backoff_scores(spark.createDataFrame([(1, "a b"), (1, "a b"), (2, "c")], "doc_id long, text string")).collect()
+    assert sorted((r.doc_id, r.n_words, r.n_unseen) for r in got) == [(1, 4, 0), (2, 1, 1)]
+
+
+def test_a_block_sends_each_ngram_once_and_hears_of_those_that_others_hold(spark):
+    text = " ".join(f"w{i % 50}" for i in range(5000))
+    docs = spark.createDataFrame([(i, text + (" own" if i == 0 else "")) for i in range(8)], "doc_id long, text string")
+    blocks = backoff.word_blocks(docs.repartition(4, "doc_id"))
+    for k in (1, 2, 3):
+        asked = backoff.asked_counts(blocks, 3, k, 2)
+        sent = asked.selectExpr("sum(length(keys) div 8) AS n").head().n
+        # 53 n-grams of an order at most, and the start sign, for each block; there are 40,000 words.
+        assert sent <= blocks.count() * 54
+        answers = backoff.answered_counts(asked, k).collect()
+        assert len(answers) == asked.count()
+        told = sum(len(r.grams) // 8 for r in answers)
+        assert 0 < told < sent if blocks.count() > 1 else told == 0
