@@ -3,15 +3,16 @@
 Features are cut into bins once, at quantiles from one mergeable sketch pass.
 Each level of a tree is one aggregation: tasks add up gradients and hessians by
 (node, feature, bin) over their rows, and the driver picks the splits from at most
-``2 ** (depth - 1) * features * (bins + 1)`` sums, whatever the number of rows. With
-few cores the sums of each task reach it as they are, one small job a level; with
+``2 ** (depth - 1) * features * (bins + 1)`` sums, whatever the number of rows. The rows
+a tree sees are drawn once, with their gradients; of the two sides of a split only the
+lighter is counted, the other is the rest of the node. With few cores the sums of each task reach it as they are, one small job a level; with
 many they are shuffled and added first. Rows travel as blocks of plain arrays, and
 margins are carried on in memory from tree to tree. A missing value has a bin of
 its own and goes to the side where it gains more: nothing is filled in.
 """
 
 import random
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -66,26 +67,39 @@ class Tree:
         self.missing_left = np.zeros(n, bool)
         self.cut, self.gain, self.value = np.zeros(n), np.zeros(n), np.zeros(n)
 
-    def nodes_of_bins(self, bins: np.ndarray, steps: int) -> np.ndarray:
-        """The node of each row after so many steps down; ``bins`` is by feature, and 0 is a missing value."""
-        n = bins.shape[1]
-        at, flat, rows = np.zeros(n, np.int64), bins.ravel(), np.arange(n)
-        for _ in range(steps):
-            feature = self.feature[at]
-            value = flat.take(np.maximum(feature, 0) * n + rows)
-            left = np.where(value == 0, self.missing_left[at], value <= self.bin[at])
-            at = np.where(feature >= 0, 2 * at + 2 - left, at)
+    def _walk(self, n: int, steps: int, left: Callable[[int], np.ndarray]) -> np.ndarray:
+        """The node of each of ``n`` rows after so many steps down; ``left`` tells which rows would go left at a node.
+
+        All rows are held against one node at a time: plain passes over columns, far cheaper than a look-up for each row.
+        """
+        at = np.zeros(n, np.min_scalar_type(len(self.feature)))
+        for level in range(steps):
+            below = at.copy()
+            for i in range(2**level - 1, 2 ** (level + 1) - 1):
+                if self.feature[i] >= 0:
+                    np.copyto(below, at.dtype.type(2 * i + 2) - left(i), where=at == i)
+            at = below
         return at
 
-    def nodes_of(self, values: np.ndarray, missing: np.ndarray, limit: np.ndarray) -> np.ndarray:
-        """The node where each row ends; ``limit`` is what a value is held against at each node."""
-        at, rows = np.zeros(len(values), np.int64), np.arange(len(values))
-        for _ in range(self.depth):
-            feature = self.feature[at]
-            inner = feature >= 0
-            left = np.where(missing[rows, feature], self.missing_left[at], values[rows, feature] <= limit[at])
-            at = np.where(inner, 2 * at + 2 - left, at)
-        return at
+    def nodes_of_bins(self, bins: np.ndarray, steps: int, place: dict[int, int] | None = None) -> np.ndarray:
+        """The node of each row after so many steps down; ``bins`` is by feature (or by its ``place``), and 0 is a missing value."""
+
+        def left(i: int) -> np.ndarray:
+            x, last = bins[self.feature[i] if place is None else place[self.feature[i]]], np.uint8(self.bin[i])
+            # Less by one, a missing value is the highest byte.
+            return (x <= last if self.missing_left[i] else x - np.uint8(1) < last).view(np.uint8)
+
+        return self._walk(bins.shape[1], steps, left)
+
+    def nodes_of(self, values: list[np.ndarray], limit: np.ndarray) -> np.ndarray:
+        """The node where each row ends; ``values`` is by feature, and ``limit`` what a value is held against at each node."""
+
+        def left(i: int) -> np.ndarray:
+            x = values[self.feature[i]]
+            # A missing value compares as false.
+            return (~(x > limit[i]) if self.missing_left[i] else x <= limit[i]).view(np.uint8)
+
+        return self._walk(len(values[0]), self.depth, left)
 
     def values_of_bins(self, bins: np.ndarray) -> np.ndarray:
         return self.value[self.nodes_of_bins(bins, self.depth)]
@@ -103,10 +117,10 @@ class BoostedModel:
 
         @F.pandas_udf("double")
         def of(*columns: pd.Series) -> pd.Series:
-            values = np.column_stack([c.to_numpy(float, na_value=np.nan) for c in columns])
-            missing, total = np.isnan(values), np.zeros(len(values))
+            values = [c.to_numpy(float, na_value=np.nan) for c in columns]
+            total = np.zeros(len(values[0]))
             for tree in trees:
-                total += tree.value[tree.nodes_of(values, missing, tree.cut)]
+                total += tree.value[tree.nodes_of(values, tree.cut)]
             return pd.Series(total)
 
         return of(*(F.col(c).cast("double") for c in self.columns))
@@ -212,28 +226,51 @@ def _drawn(row: np.ndarray, share: float, seed: int, number: int) -> np.ndarray:
     return ((x ^ (x >> np.uint64(31))) >> np.uint64(11)).astype(float) / 2.0**53 < share
 
 
-def _sums(
-    rows: DataFrame, tree: Tree, level: int, columns: list[int], n_features: int, growth: Growth, number: int
-) -> np.ndarray:
-    """(gradients, hessians) by node of the level, chosen column and bin: one aggregation over all rows."""
-    nodes, width = 2**level, growth.bins + 1
-    shape = (nodes, len(columns), width)
-    size = nodes * len(columns) * width
+#: The rows that a tree sees: bytes of its columns, gradients and hessians.
+DRAWN = "bins binary, g binary, h binary"
 
-    def added(batches: Iterator[pa.RecordBatch]) -> np.ndarray:
-        sums = np.zeros((2, nodes, len(columns), width))
+
+def _seen(rows: DataFrame, columns: list[int], n_features: int, growth: Growth, number: int) -> DataFrame:
+    """Blocks (``DRAWN``) of the rows drawn for a tree: made once, and read at each of its levels."""
+
+    def draw(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for row, bins, y, w, margin in _blocks(batches, n_features):
-            node = tree.nodes_of_bins(bins, level) - (nodes - 1)
-            seen = (node >= 0) & (w > 0)
+            seen = w > 0
             if growth.row_share < 1:
                 seen &= _drawn(row, growth.row_share, growth.seed, number)
-            p = 1 / (1 + np.exp(-margin[seen]))
-            parts = w[seen] * (p - y[seen]), w[seen] * p * (1 - p)
-            start = node[seen] * width
-            for k, c in enumerate(columns):
-                cell = start + bins[c][seen]
-                for i, x in enumerate(parts):
-                    sums[i, :, k] += np.bincount(cell, x, nodes * width).reshape(nodes, width)
+            at = np.flatnonzero(seen)
+            if len(at):
+                p, weight = 1 / (1 + np.exp(-margin.take(at))), w.take(at)
+                held = np.stack([bins[c].take(at) for c in columns]), weight * (p - y.take(at)), weight * p * (1 - p)
+                yield pa.RecordBatch.from_arrays([pa.array([x.tobytes()], pa.binary()) for x in held], ["bins", "g", "h"])
+
+    return rows.mapInArrow(draw, DRAWN)
+
+
+def _sums(drawn: DataFrame, tree: Tree, level: int, counted: list[int], columns: list[int], growth: Growth) -> np.ndarray:
+    """(gradients, hessians) by counted node of the level, chosen column and bin: one aggregation over all rows drawn."""
+    width = growth.bins + 1
+    shape = (len(counted), len(columns), width)
+    size = len(counted) * len(columns) * width
+    place = {c: k for k, c in enumerate(columns)}
+    start_of = np.full(len(tree.feature), -1)
+    start_of[np.array(counted) + 2**level - 1] = np.arange(len(counted)) * width
+
+    def added(batches: Iterator[pa.RecordBatch]) -> np.ndarray:
+        sums = np.zeros((2, *shape))
+        for batch in batches:
+            for k in range(batch.num_rows):
+                g, h = (np.frombuffer(batch.column(i)[k].as_buffer()) for i in (1, 2))
+                bins = np.frombuffer(batch.column(0)[k].as_buffer(), np.uint8).reshape(len(columns), len(g))
+                start, at = 0, slice(None)
+                if level:
+                    start = start_of.take(tree.nodes_of_bins(bins, level, place))
+                    at = np.flatnonzero(start >= 0)
+                    start, g, h = start.take(at), g.take(at), h.take(at)
+                for c in range(len(columns)):
+                    cell = start + bins[c][at].astype(np.int64)
+                    for i, x in enumerate((g, h)):
+                        sums[i, :, c] += np.bincount(cell, x, len(counted) * width).reshape(-1, width)
         return sums.reshape(2, size)
 
     def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -245,19 +282,30 @@ def _sums(
         yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(sums[0, at]), pa.array(sums[1, at])], ["cell", "g", "h"])
 
     out = np.zeros((2, size))
-    cores = rows.sparkSession.sparkContext.defaultParallelism
+    cores = drawn.sparkSession.sparkContext.defaultParallelism
     if cores <= FEW_CORES:
-        for r in rows.coalesce(cores).mapInArrow(whole, "sums binary").collect():
+        for r in drawn.coalesce(cores).mapInArrow(whole, "sums binary").collect():
             out += np.frombuffer(r.sums).reshape(2, size)
     else:
-        found = rows.mapInArrow(cells, "cell long, g double, h double").groupBy("cell").agg(
+        found = drawn.mapInArrow(cells, "cell long, g double, h double").groupBy("cell").agg(
             F.sum("g").alias("g"), F.sum("h").alias("h")).toArrow()
         out[:, found["cell"].to_numpy()] = found["g"].to_numpy(), found["h"].to_numpy()
     return out.reshape(2, *shape)
 
 
-def _split(tree: Tree, level: int, sums: np.ndarray, columns: list[int], cuts: list[np.ndarray], growth: Growth) -> None:
-    """The best split of every node of a level, and the values of its two sides."""
+def _completed(sums: np.ndarray, counted: list[int], above: np.ndarray | None) -> np.ndarray:
+    """The sums of all nodes of a level: one child of each split node was counted, the other is what is left of the node."""
+    if above is None:
+        return sums
+    out = np.zeros((2, 2 * above.shape[1], *above.shape[2:]))
+    for k, node in enumerate(counted):
+        out[:, node] = sums[:, k]
+        out[:, node ^ 1] = above[:, node // 2] - sums[:, k]
+    return out
+
+
+def _split(tree: Tree, level: int, sums: np.ndarray, columns: list[int], cuts: list[np.ndarray], growth: Growth) -> list[int]:
+    """The best split of every node of a level, and the values of its two sides; the lighter side of each, by its place below."""
 
     def worth(g: np.ndarray, h: np.ndarray) -> np.ndarray:
         return g * g / (h + growth.penalty)
@@ -272,7 +320,7 @@ def _split(tree: Tree, level: int, sums: np.ndarray, columns: list[int], cuts: l
     n_cuts = np.array([len(cuts[c]) for c in columns])
     allowed &= (np.arange(gain.shape[2]) < n_cuts[:, None])[None, :, :, None]
     gain = np.where(allowed, np.round(gain, GAIN_PLACES), 0.0)
-    first = 2**level - 1
+    first, lighter = 2**level - 1, []
     for node in range(2**level):
         if not total[1, node]:
             continue
@@ -285,6 +333,8 @@ def _split(tree: Tree, level: int, sums: np.ndarray, columns: list[int], cuts: l
         tree.cut[i], tree.gain[i] = cuts[columns[c]][b], gain[node, c, b, side]
         for child, (g, h) in ((2 * i + 1, left[:, node, c, b, side]), (2 * i + 2, right[:, node, c, b, side])):
             tree.value[child] = -growth.rate * g / (h + growth.penalty)
+        lighter.append(2 * node + int(left[1, node, c, b, side] > right[1, node, c, b, side]))
+    return lighter
 
 
 def fit(
@@ -307,17 +357,20 @@ def fit(
         chosen = sorted(random.Random(growth.seed + number).sample(
             range(len(columns)), max(1, round(growth.column_share * len(columns)))))
         tree = Tree(growth.depth)
+        drawn = _seen(rows, chosen, len(columns), growth, number).persist(StorageLevel.MEMORY_AND_DISK)
+        sums, counted = None, [0]
         for level in range(growth.depth):
-            sums = _sums(rows, tree, level, chosen, len(columns), growth, number)
+            sums = _completed(_sums(drawn, tree, level, counted, chosen, growth), counted, sums)
             if level == 0:
                 if before is not None:  # the pass has put the new margins in its place
                     before.unpersist()
                 if sums[1].any():
                     g, h = sums[:, 0, 0].sum(axis=1)
                     tree.value[0] = -growth.rate * g / (h + growth.penalty)
-            _split(tree, level, sums, chosen, edges, growth)
-            if not (tree.feature[2**level - 1 : 2 ** (level + 1) - 1] >= 0).any():
+            counted = _split(tree, level, sums, chosen, edges, growth)
+            if not counted:
                 break
+        drawn.unpersist()
         trees.append(tree)
         if number + 1 < growth.rounds:
             added = _with_margins(rows, tree, len(columns))

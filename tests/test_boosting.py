@@ -126,3 +126,42 @@ def test_sums_straight_to_the_driver_or_by_a_shuffle_are_the_same(spark, monkeyp
         model = fit(df, COLUMNS, "y", growth=Growth(rounds=3, depth=2, bins=16))
         scored.append(sorted(r.probability for r in model.with_probability(df).collect()))
     assert scored[0] == pytest.approx(scored[1])
+
+
+def test_the_heavier_side_is_what_the_lighter_leaves_of_a_node(spark):
+    df = spark.createDataFrame(data(500, 7), SCHEMA).repartition(3)
+    growth = Growth(depth=3, bins=16)
+    edges = even_cuts(df, COLUMNS, 16)
+    rows = boosting._binned(df, COLUMNS, edges, "y", F.col("w"))
+    chosen, tree = [0, 2], boosting.Tree(3)
+    drawn = boosting._seen(rows, chosen, 3, growth, 1).cache()
+    sums, counted = None, [0]
+    for level in range(3):
+        sums = boosting._completed(boosting._sums(drawn, tree, level, counted, chosen, growth), counted, sums)
+        every = boosting._sums(drawn, tree, level, list(range(2**level)), chosen, growth)
+        assert sums == pytest.approx(every, abs=1e-9)
+        assert len(counted) <= max(1, 2 ** (level - 1))
+        # The lighter sides hold half of the hessians at most.
+        assert level == 0 or 2 * every[1, counted, 0].sum() <= every[1, :, 0].sum()
+        counted = boosting._split(tree, level, sums, chosen, edges, growth)
+        assert counted
+
+
+def test_rows_end_where_their_values_lead_them():
+    rnd = np.random.default_rng(3)
+    tree = boosting.Tree(3)
+    tree.feature[[0, 1, 2, 4, 5]], tree.bin[[0, 1, 2, 4, 5]] = [1, 0, 2, 2, 1], [4, 2, 7, 3, 250]
+    tree.missing_left[[1, 5]], tree.cut[:] = True, tree.bin
+    bins = rnd.choice(np.array([0, 1, 2, 3, 4, 7, 8, 250, 255], np.uint8), (3, 400))
+
+    def walk(x):
+        i = 0
+        while tree.feature[i] >= 0:
+            v = x[tree.feature[i]]
+            i = 2 * i + 2 - int(tree.missing_left[i] if v == 0 else v <= tree.bin[i])
+        return i
+
+    want = [walk(x) for x in bins.T]
+    assert tree.nodes_of_bins(bins, 3).tolist() == want
+    assert tree.nodes_of([np.where(b == 0, np.nan, b.astype(float)) for b in bins], tree.cut).tolist() == want
+    assert tree.nodes_of_bins(bins[[2, 1, 0]], 3, {2: 0, 1: 1, 0: 2}).tolist() == want
